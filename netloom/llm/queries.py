@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join
+from . import attribution, decontaminate, html, lines, ngram_join, packing, quality, rules, tokens, toxicity
+from .encode import word_tokenizer
 from .text import read
 
 
@@ -23,10 +24,48 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokens.write_tokens(read(spark, sf_dir, "documents"), word_tokenizer(), end_id=2)
+    return tokens.read_tokens(spark, folder, with_ids=False)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("chance")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = attribution.token_counts(read(spark, sf_dir, "documents"), attribution.head_body_tail(), word_tokenizer())
+    named = [F.col("counts")[i].alias(name) for i, name in enumerate(("head_tokens", "body_tokens", "tail_tokens"))]
+    return found.select("doc_id", "n_tokens", *named, "n_outside", "n_crossing")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -110,7 +110,16 @@ class Words:
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(_BYTE[self.data] * _power(_BASE, n), out=sums[1:])
-            self.hash = _mix((sums[self.ends] - sums[self.starts]) * _power(_INVERSE, n + 1)[self.starts] + (self.ends - self.starts).astype(np.uint64))
+            self._sums = sums
+            self.hash = self._hash(self.starts, self.ends)
+
+    def _hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return _mix((self._sums[ends] - self._sums[starts]) * _power(_INVERSE, len(self.data) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+    def stem(self, k: int, which: np.ndarray) -> np.ndarray:
+        """Hashes of the first k bytes of the given words, equal to those of such whole words."""
+        return self._hash(self.starts[which], self.starts[which] + k)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
