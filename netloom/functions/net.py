@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Ranges that are not public.
 NOT_PUBLIC_V4 = (
@@ -38,7 +39,7 @@ def v4_text(number: Column) -> Column:
     return F.concat_ws(".", *(F.shiftright(number, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def v6_bits(ip: pd.Series) -> pd.Series:
     """The bits of an IPv6 address (or of an IPv4 one, 32 of them); null if it is none."""
 
@@ -84,7 +85,7 @@ def mask_v4(ip: Column) -> Column:
     return F.regexp_replace(ip, r"[0-9]+$", "0")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def mask_v6(ip: pd.Series) -> pd.Series:
     return ip.map(lambda x: str(ipaddress.ip_address(int(ipaddress.ip_address(x)) >> 64 << 64)), na_action="ignore")
 
