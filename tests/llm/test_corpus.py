@@ -455,7 +455,7 @@ def test_pipeline_stages_on_one_small_table(spark, tmp_path):
     leak = " ".join(f"leak{i}" for i in range(12))
     near = texts[0].split()
     near[10] = "changed"
-    texts += [" ".join(near), texts[1] + " " + leak, " ".join(["idiot moron scum"] * 20), texts[2] + "\n" + texts[3]]
+    texts += [" ".join(near), " ".join(f"q{i}" for i in range(60)) + " " + leak, " ".join(["idiot moron scum"] * 20), texts[2] + "\n" + texts[3]]
     docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i == 62)) for i in range(64)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
