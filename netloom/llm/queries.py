@@ -70,5 +70,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES = {
+    "op1_decontamination": f"""
+WITH items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS n, array_to_string(list_slice(w, pos, pos + least(10, len(w)) - 1), ' ') AS win
+  FROM items, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS t(pos) WHERE len(w) > 0),
+docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM wins),
+grams AS (SELECT doc_id, n, pos, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS win FROM docs, sizes, unnest(generate_series(1, len(w) - n + 1)) AS t(pos)),
+hits AS (SELECT doc_id, g.n, pos, item FROM grams g JOIN wins USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT pos + k) AS n_hit FROM hits, unnest(generate_series(0, n - 1)) AS t(k) GROUP BY doc_id),
+found AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op3_ngram_jaccard_join": f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, pos, pos + least(5, len(w)) - 1), ' ') AS g
+  FROM docs, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS t(pos) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM sets a JOIN sets b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+  HAVING 100 * count(*) >= 75 * ((SELECT n FROM sizes s WHERE s.doc_id = a.doc_id) + (SELECT n FROM sizes s WHERE s.doc_id = b.doc_id) - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
