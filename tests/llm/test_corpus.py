@@ -221,6 +221,37 @@ def test_line_dedup(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_edits_grow_with_the_line(spark):
+    rnd = random.Random(21)
+    word = lambda n: "".join(rnd.choice("abcdé") for _ in range(n))
+    base = [" ".join(word(rnd.randint(2, 9)) for _ in range(rnd.randint(18, 150))) for _ in range(12)]
+    base += [word(rnd.randint(100, 300)) for _ in range(6)] + ["ab" * 60, "=" * 130]  # no words to go by
+    every = []
+    for line in base:
+        every.append(line)
+        for share in (0.5, 0.9, 1, 1, 1.3):
+            a = list(line)
+            for _ in range(int(share * len(line) / lines.PER_EDIT)):
+                i = rnd.randrange(len(a))
+                a[i : i + rnd.randint(0, 1)] = rnd.choice(["", "z", " "])
+            every.append("".join(a))
+    rnd.shuffle(every)
+    every = list(dict.fromkeys(x for x in every if len(x) >= 40))
+    near = []
+    for i, a in enumerate(every):
+        for b in every[:i]:
+            bound = max(2, min(len(a), len(b)) // lines.PER_EDIT)
+            if abs(len(a) - len(b)) <= bound and _distance(a, b) <= bound:
+                near.append((a, b))
+    assert len(near) > 40 and sum(min(len(a), len(b)) > 500 for a, b in near) > 5
+    classes, seen, expected = union_find(near, sorted(every)), set(), {}
+    for i, x in enumerate(every):
+        expected[i] = "" if classes[x] in seen else x
+        seen.add(classes[x])
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == expected
+
+
 def test_encoder_equals_the_library_on_whole_texts():
     texts = make_texts()
     tokenizer = Tokenizer.from_file(word_tokenizer())
