@@ -252,6 +252,36 @@ def test_line_dedup_edits_grow_with_the_line(spark):
     assert {r.doc_id: r.text for r in got} == expected
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from netloom.llm import queries
+
+    rnd = random.Random(22)
+    word = lambda n: "".join(rnd.choice("abc é") for _ in range(n))
+    every = ["a", "b", "a", "", "", "Page 12", "Page 13", "Page 12", "x" * 19, "x" * 18 + "y", "x" * 19]
+    for _ in range(60):
+        line = list(word(rnd.randint(18, 44)))
+        for _ in range(4):
+            every.append("".join(line))
+            i = rnd.randrange(len(line))
+            line[i : i + rnd.randint(0, 1)] = rnd.choice(["", "z"])
+    texts = ["\n".join(every[i : i + 5]) for i in range(0, len(every), 5)]
+    different = sorted(set(every) - {""})
+    bound = lambda n: n // 20 if n < 40 else 2
+    near = [(a, b) for a in different for b in different if a < b and abs(len(a) - len(b)) <= 2 and _distance(a, b) <= bound(min(len(a), len(b)))]
+    assert sum(len(a) < 39 for a, _ in near) > 20
+    classes, seen, expected = union_find(near, different), set(), {}
+    for i, text in enumerate(texts):
+        keep = [x for x in text.split("\n") if not x or not (classes[x] in seen or seen.add(classes[x]))]
+        expected[i] = "\n".join(keep)
+    rows = [(i, x, len(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()} == expected
+    got = {r.doc_id: r.kept_md5 for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(x.encode()).hexdigest() for i, x in expected.items()}
+
+
 def test_encoder_equals_the_library_on_whole_texts():
     texts = make_texts()
     tokenizer = Tokenizer.from_file(word_tokenizer())
