@@ -13,11 +13,13 @@ number cost one.  The rest goes through inverted lists:
             nothing, and shared shingles and set sizes are all that a check
             needs.
 3.  search  An owner's necessary prefix in the order by rarity names its
-            candidates.  First each owner meets the owner that leads most of
-            its prefix lists (a star, not all pairs of a list), then, twice
-            over, the lists that still hold several components are searched:
-            with another leader, then for every pair between components.
-            Pairs inside one component need no check, as they cannot change it.
+            candidates: every pair of a list that sizes and places allow.
+            Where only components are asked for, an owner first meets the
+            owner that leads most of its prefix lists (a star, not all pairs
+            of a list), then, twice over, the lists that still hold several
+            components are searched: with another leader, then for every pair
+            between components.  Pairs inside one component need no check
+            there, as they cannot change it.
 4.  check   `t_occurrence` takes one query set and a block of sets: short
             inverted lists are heap-merged, long ones binary-probed
             (DivideSkip), and what reaches the overlap is a link.
@@ -342,12 +344,17 @@ def ngram_classes(documents: DataFrame, shingle: int = 5, num: int = 75, den: in
     """One row per document row: doc_id, n_shingles, component_id, n_links.
 
     Two documents link when den * |intersection| >= num * |union| of their
-    shingle sets; component_id is the least doc_id reachable.  n_links counts
-    the links that joined the document's class of equal texts to another one
-    (enough to connect the component, not every link).  Null and empty texts
-    have no shingles and link with nothing, not even with each other.  Repeated
-    rows and equal texts are one class.  Other columns are ignored.
+    shingle sets; component_id is the least doc_id reachable.  Documents of
+    equal sets, such as repeated rows and equal texts, are one class, and
+    n_links counts the other classes that the document's class links with.
+    Null and empty texts have no shingles and link with nothing, not even with
+    each other.  Other columns are ignored.
     """
+    return _classes(documents, shingle, num, den, every=True)
+
+
+def _classes(documents: DataFrame, shingle: int, num: int, den: int, every: bool) -> DataFrame:
+    """ngram_classes; without `every`, no more links than make the components, and no n_links."""
     spark = T.prepare(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = texts.mapInArrow(_first_pass(shingle), "doc_id long, n_shingles long, owner long, gram long, times long").checkpoint()
@@ -370,7 +377,7 @@ def ngram_classes(documents: DataFrame, shingle: int = 5, num: int = 75, den: in
     central = F.max_by("owner", F.struct(F.col("s") / F.col("n"), "owner"))
 
     def led_by(prefixes: DataFrame, lead) -> DataFrame:
-        """For each owner the leader of most of its lists, if that is of another component."""
+        """For each owner the leader, other than itself, of most of its lists."""
         leads = prefixes.groupBy("gram").agg(lead.alias("query")).checkpoint()
         votes = prefixes.join(leads, "gram").where("owner <> query").groupBy("owner", "query").agg(F.count("*").alias("votes"))
         return votes.groupBy("owner").agg(F.max_by("query", F.struct("votes", "query")).alias("query"))
@@ -382,22 +389,27 @@ def ngram_classes(documents: DataFrame, shingle: int = 5, num: int = 75, den: in
         mixed = own.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
         return own.join(mixed, "gram", "left_semi").checkpoint()
 
-    links = _links(led_by(prefixes, central), sets, num, den)
-    rest = still_open(links)
-    if not rest.isEmpty():
-        links = links.unionByName(_links(led_by(rest, F.min("owner")), sets, num, den))
-        rest = still_open(links)
-        other = rest.select(*(F.col(c).alias(f"{c}2") for c in ("gram", "owner", "n", "s", "place", "component")))
+    def pairs_of(lists: DataFrame, wanted: str) -> DataFrame:
+        """Pairs (query, owner) of the lists that are `wanted` and that sizes and places allow."""
+        other = lists.select(*(F.col(c).alias(f"{c}2") for c in lists.columns))
         # if this is the first shingle that two sets share, the rest of either bounds what they can share
         need = F.ceil((F.col("n") + F.col("n2")) * num / (num + den))
-        pairs = (
-            rest.join(other, F.col("gram") == F.col("gram2"))
-            .where("owner < owner2 and component <> component2")
+        return (
+            lists.join(other, F.col("gram") == F.col("gram2"))
+            .where(wanted)
             .where(F.least(F.col("s") - F.col("place"), F.col("s2") - F.col("place2")) >= need)
             .select(F.col("owner").alias("query"), F.col("owner2").alias("owner"))
             .distinct()
         )
-        links = links.unionByName(_links(pairs, sets, num, den))
+
+    if every:
+        links = _links(pairs_of(prefixes, "owner < owner2"), sets, num, den)
+    else:
+        links = _links(led_by(prefixes, central), sets, num, den)
+        rest = still_open(links)
+        if not rest.isEmpty():
+            links = links.unionByName(_links(led_by(rest, F.min("owner")), sets, num, den))
+            links = links.unionByName(_links(pairs_of(still_open(links), "owner < owner2 and component <> component2"), sets, num, den))
     joined = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("owner")).groupBy("owner").agg(F.count("*").alias("n_links"))
     named = classes.join(joined.withColumnRenamed("id", "owner"), "owner", "left").join(degree, "owner", "left")
@@ -409,11 +421,11 @@ def ngram_classes(documents: DataFrame, shingle: int = 5, num: int = 75, den: in
         "doc_id",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        *([F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if every else []),
     )
 
 
 def one_of_each(documents: DataFrame, shingle: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """The rows of `documents`, all columns, of which the class's least doc_id is their own."""
-    extra = ngram_classes(documents, shingle, num, den).where("component_id <> doc_id").select("doc_id").distinct()
+    extra = _classes(documents, shingle, num, den, every=False).where("component_id <> doc_id").select("doc_id").distinct()
     return documents.join(extra, "doc_id", "left_anti")

@@ -129,6 +129,27 @@ def test_ngram_join(spark, table, empty):
     assert ngram_join.ngram_classes(empty).count() == 0
 
 
+def test_ngram_links_are_all_counted(spark, table):
+    rnd = random.Random(6)
+    rows = [(d, t) for d, t in table[0]]
+    base = [f"b{i}" for i in range(60)]
+    for i in range(40):  # so near that some link with all others of the group and some do not
+        words = list(base)
+        for k in rnd.sample(range(60), rnd.choice([0, 1, 1, 2])):
+            words[k] = f"x{i}_{k}"
+        rows.append((1000 + i, " ".join(words)))
+    rows += [(2000 + i, " ".join(["m" + "x" * (i == k) for k in range(3)] + [f"n{k}" for k in range(80)])) for i in range(3)]  # three mutual near copies
+    sets = {}
+    for doc_id, text in rows:
+        words = SPACED.findall((text or "").translate(LOWER))
+        sets[doc_id] = frozenset(tuple(words[a : a + 5]) for a in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
+    different = set(sets.values()) - {frozenset()}
+    links = {a: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in different) for a in different}
+    got = ngram_join.ngram_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((d, links.get(sets[d], 0)) for d, _ in rows)
+    assert all(links[sets[2000 + i]] == 2 for i in range(3)) and len({links[sets[1000 + i]] for i in range(40)}) > 2
+
+
 def test_t_occurrence_finds_what_counting_finds():
     rnd = np.random.default_rng(2)
     for _ in range(60):
