@@ -111,6 +111,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     called.  Rows that share a doc_id are told apart by the text's hash; rows
     equal in both are counted together and given back as often as they came.
     """
+    return _contamination(documents, benchmark, window, shingle).drop("h")
+
+
+def _contamination(documents: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """contamination, with the text's hash as h."""
     spark = T.prepare(documents.sparkSession)
     wins = (
         benchmark.select("item_id", "text")
@@ -178,6 +183,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     )["n"]
     return counts.join(per.withColumn("n_hit", covered), counts["key"].eqNullSafe(per["key"]), "left").select(
         counts["key.doc_id"].alias("doc_id"),
+        counts["key.h"].alias("h"),
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -187,5 +193,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
     """The rows of `documents`, all columns, without those of which a benchmark window occurs."""
-    bad = contamination(documents, benchmark, window, shingle).where("n_hit > 0").select("doc_id").distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = _contamination(documents, benchmark, window, shingle).where("n_hit > 0").select("doc_id", "h").distinct()
+    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(documents["text"]) == bad["h"]), "left_anti")

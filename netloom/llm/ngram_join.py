@@ -426,6 +426,20 @@ def _classes(documents: DataFrame, shingle: int, num: int, den: int, every: bool
 
 
 def one_of_each(documents: DataFrame, shingle: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """The rows of `documents`, all columns, of which the class's least doc_id is their own."""
-    extra = _classes(documents, shingle, num, den, every=False).where("component_id <> doc_id").select("doc_id").distinct()
-    return documents.join(extra, "doc_id", "left_anti")
+    """One row of `documents`, all columns, of each class: that of the least doc_id, null last, or one of those equal in doc_id and text.
+
+    Rows whose texts have no shingles all stay.
+    """
+    row = F.xxhash64("doc_id", F.xxhash64("text"))
+    found = _classes(documents.select(row.alias("doc_id"), "text"), shingle, num, den, every=False).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("row"), "component_id").agg(F.count("*").alias("times"))
+    ids = documents.select(row.alias("row"), F.col("doc_id").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    found = found.join(ids, "row").checkpoint()
+    kept = found.groupBy("component_id").agg(F.min_by("row", order).alias("row")).select("row")
+    several = found.join(kept, "row", "left_semi").where("times > 1").select("row").checkpoint()
+    others = found.join(kept, "row", "left_anti").select("row").unionByName(several)
+    rows = documents.withColumn("__row", row)
+    single = rows.join(others, rows["__row"] == others["row"], "left_anti")
+    once = rows.join(several, rows["__row"] == several["row"], "left_semi").dropDuplicates(["__row"])
+    return single.unionByName(once).drop("__row")

@@ -185,5 +185,10 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, target: str = "toxi
 
 def without_toxic(documents: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """The rows of `documents`, all columns, that score under `least`."""
-    bad = toxicity_scores(documents, labels).where(F.col("score") >= least).select("doc_id").distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    T.prepare(documents.sparkSession)
+    model = fit(documents, labels, "toxic", stats.crc_of() % 3 != 1)
+    if not model:
+        return documents
+    # the score is the text's alone, so rows go by their text, whatever their doc_id
+    bad = stats.scored(documents.select(F.xxhash64("text").alias("doc_id"), "text"), model.score).where(F.col("score") >= least).select(F.col("doc_id").alias("h")).distinct()
+    return documents.join(bad, F.xxhash64(documents["text"]) == bad["h"], "left_anti")

@@ -519,6 +519,29 @@ def test_html_extraction(spark):
     assert html.extract(pages.where("page_id < 0")).count() == 0
 
 
+def test_stages_go_by_row_where_doc_ids_are_null_or_repeated(spark):
+    rnd = random.Random(31)
+    clean = [" ".join(rnd.choice([f"r{i}" for i in range(300)]) for _ in range(40)) for _ in range(8)]
+    leak, toxic = " ".join(f"leak{i}" for i in range(12)), " ".join(["idiot moron scum"] * 20)
+    schema = "doc_id long, text string"
+
+    rows = [(None, clean[0]), (None, clean[1] + " " + leak), (5, clean[2]), (5, clean[3] + " " + leak), (6, None)]
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    kept = decontaminate.decontaminate(spark.createDataFrame(rows, schema), bench).collect()
+    assert Counter(map(tuple, kept)) == Counter([rows[0], rows[2], rows[4]])
+
+    labelled = [(i, toxic if i % 4 == 0 else clean[i % 8] + f" s{i}") for i in range(10, 80)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in labelled], "doc_id long, toxic int")
+    rows = [(None, clean[0]), (None, toxic), (5, clean[2]), (5, toxic)] + labelled
+    kept = toxicity.without_toxic(spark.createDataFrame(rows, schema), labels).collect()
+    assert Counter(map(tuple, kept)) == Counter((d, t) for d, t in rows if t != toxic)
+
+    near = [" ".join([f"v{i}"] + clean[0].split()[1:]) for i in range(3)]
+    rows = [(None, near[0]), (None, near[1]), (None, clean[1]), (None, clean[1]), (7, near[2]), (7, near[2]), (9, clean[0]), (3, clean[4]), (3, clean[5]), (None, None), (None, None), (4, "")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, schema)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, clean[1]), (7, near[2]), (3, clean[4]), (3, clean[5]), (None, None), (None, None), (4, "")])
+
+
 def test_statistics_match_plain_counts():
     texts = make_texts(40)
     s = stats.DocStats(pa.array(texts))
