@@ -3,10 +3,11 @@
 A configuration is a multiset of piece lengths that fits a sequence; the
 program covers the histogram of lengths with as few configurations as it can.
 Multiplicative weights solve it: each length has a price, a knapsack dynamic
-program prices the best configuration, and the prices of what it covers fall.
-The fractional solution is rounded down configuration by configuration, and
-the lengths that are left are packed largest first, each sequence filled by
-the largest that still fit, repeated as often as the histogram allows.
+program prices the best configuration around every length, lengths that lag
+behind their share of the demand grow dearer and those ahead cheaper, and the
+prices bound from below what any packing needs.  The fractional solution is
+rounded, what is left is solved again, and only the last pieces, which no good
+configuration holds any more, are packed largest first.
 
 Only the histogram (a row for each length, at most the sequence length) comes
 to the driver, so the program does not grow with the number of documents; the
@@ -26,72 +27,129 @@ from pyspark.sql import functions as F
 from . import text as T
 from .encode import encoder
 
-#: Rounds of the multiplicative weights, and by how much a fully covered length's price falls.
-ROUNDS, ETA = 60, 1.0
+#: Rounds of the multiplicative weights, and pricings in each at most; how fast a length that lags behind by a whole round grows dearer; solutions of what is left, at most.
+ROUNDS, TRIES, ETA, SOLUTIONS = 4, 12, 0.02, 12
+#: Of two multisets of a length the one of fewer, longer pieces is a little dearer at first: short pieces fill many gaps.
+STEEP = 1.002
+#: How much worse filled than the fractional solution on average a configuration may be that is rounded up.
+WORSE = 0.004
 _RANK_BITS = 48
 
 
-def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """Indices into lengths (ascending) of the dearest multiset that fits."""
+def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each capacity up to the given one the dearest multiset's price, and an index into lengths (ascending) that it holds, or -1 where one token less does as well."""
     best = np.zeros(capacity + 1)
     taken = np.full(capacity + 1, -1, np.int32)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        best[c], taken[c] = best[c - 1], -1
+        best[c] = best[c - 1]
         n = fits[c]
         if n:
             value = best[c - lengths[:n]] + prices[:n]
             i = int(value.argmax())
             if value[i] > best[c]:
                 best[c], taken[c] = value[i], i
+    return best, taken
+
+
+def _traced(taken: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
     out, c = [], capacity
     while c > 0:
         if taken[c] < 0:
             c -= 1
         else:
-            out.append(taken[c])
+            out.append(int(taken[c]))
             c -= int(lengths[taken[c]])
-    return np.array(out, np.int64)
+    return out
+
+
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
+    """Configurations ((index, times), ...) with how often each is used, fractionally, and a lower bound of the sequences that any packing needs.
+
+    Every round asks for one more share of each length's demand.  A length
+    that lags is put into the dearest configuration around it, as often as no
+    other length of it runs more than a round ahead.
+    """
+    weight: dict[tuple, float] = {}
+    covered, prices, bound = np.zeros(len(sizes)), (sizes / capacity) ** STEEP, 0.0
+    share = demand / rounds
+    for turn in range(1, rounds + 1):
+        room = np.minimum((turn + 1) * share, demand) - covered
+        for again in range(TRIES):
+            # lengths that have run a round ahead wait
+            free = np.flatnonzero(room > 1e-9) if again else np.arange(len(sizes))
+            if not len(free):
+                break
+            best, taken = _knapsack(sizes[free], prices[free], capacity)
+            if not again:
+                bound = max(bound, float(demand @ prices) / best[capacity])
+            moved = False
+            for i in free[np.argsort(-sizes[free], kind="stable")].tolist():
+                lacks = turn * share[i] - covered[i]
+                if lacks <= 1e-9:
+                    continue
+                rest = free[_traced(taken, sizes[free], capacity - int(sizes[i]))]
+                kinds, times = np.unique(np.append(rest, i), return_counts=True)
+                step = min(float((room[kinds] / times).min()), lacks / float(times[kinds == i][0]))
+                if step <= 1e-9:
+                    continue
+                key = tuple(zip(kinds.tolist(), times.tolist()))
+                weight[key] = weight.get(key, 0.0) + step
+                covered[kinds] += times * step
+                room[kinds] -= times * step
+                moved = True
+            if not moved:
+                break
+        prices = prices * np.exp(ETA * np.clip((turn * share - covered) / share, -2, 2))
+    return weight, bound
 
 
 def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """(configuration, how often) that hold every piece of the histogram exactly once."""
+    return _planned(histogram, capacity, rounds)[0]
+
+
+def _planned(histogram: dict[int, int], capacity: int, rounds: int) -> tuple[list[tuple[dict[int, int], int]], float, float]:
+    """The plan, a lower bound of its sequences, and the share of all tokens that the program placed."""
     lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), np.int64)
     if not len(lengths):
-        return []
+        return [], 0.0, 1.0
     left = np.array([histogram[int(k)] for k in lengths], np.int64)
     plan: list[tuple[dict[int, int], int]] = []
+    tokens = lambda: int(left @ lengths)
+    total, lower = tokens(), 0.0
+
+    def use(kinds: list[int], times: list[int], often: int) -> None:
+        for i, t in zip(kinds, times):
+            left[i] -= t * often
+        plan.append(({int(lengths[i]): t for i, t in zip(kinds, times)}, often))
 
     # full pieces need no program
     if lengths[-1] == capacity:
-        plan.append(({capacity: 1}, int(left[-1])))
-        left[-1] = 0
-    live = np.flatnonzero(left)
-    if len(live):
-        demand, sizes = left[live].astype(float), lengths[live]
-        prices = sizes / capacity
-        weight: dict[tuple, float] = {}
-        for _ in range(rounds):
-            picked = _knapsack(sizes, prices, capacity)
-            if not len(picked):
-                break
-            kinds, times = np.unique(picked, return_counts=True)
-            step = float((demand[kinds] / times).min())
-            key = tuple(zip(kinds.tolist(), times.tolist()))
-            weight[key] = weight.get(key, 0.0) + step
-            prices[kinds] *= np.exp(-ETA * times * step / demand[kinds])
-        covered = np.zeros(len(sizes))
-        for key, x in weight.items():
-            for i, t in key:
-                covered[i] += t * x
-        for key, x in sorted(weight.items(), key=lambda kx: -kx[1]):
-            # what is covered several times over shares the demand out
-            scale = min(demand[i] / max(covered[i], demand[i]) for i, _ in key)
-            often = int(min(x * scale, min(left[live[i]] // t for i, t in key)))
-            if often:
-                for i, t in key:
-                    left[live[i]] -= t * often
-                plan.append(({int(sizes[i]): t for i, t in key}, often))
+        lower += int(left[-1])
+        use([len(lengths) - 1], [1], int(left[-1]))
+    first = True
+    for _ in range(SOLUTIONS if rounds else 0):
+        live = np.flatnonzero(left)
+        if not len(live):
+            break
+        weight, bound = solve(lengths[live], left[live].astype(float), capacity, rounds)
+        if first:
+            lower, first = lower + bound, False
+        full = {key: sum(int(lengths[live[i]]) * t for i, t in key) / capacity for key in weight}
+        mean = sum(full[key] * x for key, x in weight.items()) / max(sum(weight.values()), 1e-9)
+        before = tokens()
+        # whole uses first, then one more of the best filled of which a part is left over
+        for up in (False, True):
+            for key, x in sorted(weight.items(), key=(lambda kx: (-full[kx[0]], -(kx[1] % 1), kx[0])) if up else (lambda kx: (-kx[1], kx[0]))):
+                if full[key] < mean - WORSE:
+                    continue
+                often = min(min(int(left[live[i]]) // t for i, t in key), 1 if up else int(x + 1e-9))
+                if often:
+                    use([int(live[i]) for i, _ in key], [t for _, t in key], often)
+        if before - tokens() < 0.02 * before:
+            break
+    placed = 1 - tokens() / total
     # the rest: largest first, each filled with the largest that fit
     while left.any():
         room, chosen = capacity, {}
@@ -106,11 +164,8 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUND
             chosen[i] = n
             room -= n * int(lengths[i])
             top = i
-        often = min(int(left[i]) // n for i, n in chosen.items())
-        for i, n in chosen.items():
-            left[i] -= n * often
-        plan.append(({int(lengths[i]): n for i, n in chosen.items()}, often))
-    return plan
+        use(list(chosen), list(chosen.values()), min(int(left[i]) // n for i, n in chosen.items()))
+    return plan, lower, placed
 
 
 def _places(plan: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:
