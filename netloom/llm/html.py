@@ -1,13 +1,17 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is read into blocks: runs of text between block-level tags, each with
-its path in the document tree.  A logistic classifier over block features
-gives each block its costs as content and as boilerplate, which become the
-capacities from the source and to the sink; neighbours in page order and
-blocks close in the tree are tied by smoothness edges.  The maximum flow's cut
-is the cheapest labelling.  The classifier is trained here, from a bounded
-sample of pages: blocks whose containers tell what they are teach the rest,
-and a prior holds the weights of what the sample lacks.
+its path in the document tree.  A logistic classifier over what a block looks
+like (links, length, punctuation, place, depth, tag) gives each block its costs
+as content and as boilerplate, which become the capacities from the source and
+to the sink, with what the names of its containers say added; neighbours in
+page order and blocks close in the tree are tied by smoothness edges.  The
+maximum flow's cut is the cheapest labelling.
+
+The classifier is trained here, from a bounded sample of pages: blocks whose
+containers tell what they are are its labels, and those names are none of its
+inputs.  The strength of the edges is fitted on the same pages, with the names
+left out.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from . import text as T
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea iframe object svg math title select".split())
+RAW = set("script style noscript template textarea iframe object svg math title select button".split())
 BLOCK = set(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -36,12 +40,12 @@ ENDS_P = BLOCK - set("html body option td th tr tbody thead tfoot caption legend
 ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Containers, and words of class, id and role, that are not an article's text.
-CHROME_TAGS = {"nav", "footer", "aside", "form", "menu", "button", "dialog"}
+CHROME_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog"}
 CHROME_WORDS = set(
     "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies copyright disclaimer disqus "
     "footer header masthead menu modal nav navbar navigation newsletter notice outbrain pager pagination paywall popup promo promoted promotion recommended "
     "related reply replies respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags toolbar widget complementary dialog "
-    "consent gdpr login topbar legal discussion reader responses meta".split()
+    "consent gdpr login topbar discussion reader responses meta".split()
 )
 ARTICLE_WORDS = set("article articlebody main content story post entry body text".split())
 
@@ -49,14 +53,18 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^'
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-FEATURES = ("bias", "chrome_tag", "chrome_word", "header", "article", "article_word", "links", "heading", "long", "sentence", "short_item", "hidden")
+FEATURES = ("bias", "links", "heading", "long", "sentence", "short_item", "paragraph", "item", "commas", "digits", "place", "depth", "links_around")
 #: What is believed of each feature before any page is seen, and how firmly.
-PRIOR = np.array([-0.5, -4.0, -5.0, -2.5, 2.5, 0.6, -2.5, 0.5, 1.5, 0.7, -1.0, -6.0])
+PRIOR = np.array([0.3, -3.0, 0.6, 1.5, 0.8, -1.2, 0.5, -0.6, 0.5, -0.5, -0.3, 0.0, -1.0])
 FIRMNESS = 20.0
+#: What a container's name adds to a block's log odds: chrome tag, chrome word, header, article, article word, hidden.
+EVIDENCE = np.array([-8.0, -8.0, -3.0, 4.0, 0.6, -10.0])
 #: Pages, at most, that the classifier is trained on.
 SAMPLE_PAGES = 500
 #: Smoothness of neighbours in page order, and of blocks a number of tree steps apart (halved with each).
-NEXT, NEAR = 0.3, 0.4
+NEXT, NEAR = 0.6, 0.8
+#: Strengths of the edges, of which the one that fits best is taken.
+STRENGTHS = (0.25, 0.5, 1.0, 2.0, 4.0)
 
 
 @dataclass
@@ -146,8 +154,12 @@ def blocks(page: str) -> list[Block]:
                 held.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            closed = m[3].rstrip().endswith("/") and tag in ("svg", "math")
+            end = None if closed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style", "title", "textarea"):  # these run to the page's end, others are taken as they come
+                at = len(page)
             continue
         if m[3].endswith("/") and tag not in BLOCK:
             continue
@@ -161,18 +173,25 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
+    """What each block looks like; nothing of it comes from the names of containers."""
+    links = np.array([min(1.0, b.linked / len(b.text)) for b in found])
+    padded = np.concatenate([links[:1], links, links[-1:]])
     rows = []
-    for b in found:
+    for i, b in enumerate(found):
         n = len(b.text)
-        chrome, word, header, article, article_word, hidden = b.flags
-        rows.append((1, chrome, word, header, article, article_word, min(1.0, b.linked / n), b.tag in HEADINGS, min(1.0, n / 200), b.text[-1] in ".!?…\"”»", n < 40 and b.tag in ("li", "td", "option", ""), hidden))
+        short = n < 40 and b.tag in ("li", "td", "option", "")
+        marks = min(1.0, 20 * sum(map(b.text.count, ",;")) / n)
+        digits = sum(map(str.isdigit, b.text)) / n
+        around = (padded[i] + padded[i + 2]) / 2
+        rows.append((1, links[i], b.tag in HEADINGS, min(1.0, n / 200), b.text[-1] in ".!?…\"”»", short, b.tag == "p", b.tag in ("li", "dd", "dt"), marks, digits, i / len(found), min(1.0, len(b.path) / 20), around))
     return np.array(rows, float).reshape(len(rows), len(FEATURES))
 
 
 def _teachers(found: list[Block], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose containers tell their label, and the labels."""
-    chrome = (x[:, 1] > 0) | (x[:, 2] > 0) | (x[:, 11] > 0)
-    article = (x[:, 4] > 0) & ~chrome & (x[:, 3] == 0) & (x[:, 6] < 0.5)
+    flags = np.array([b.flags for b in found], bool).reshape(len(found), 6)
+    chrome = flags[:, 0] | flags[:, 1] | flags[:, 5]
+    article = flags[:, 3] & ~chrome & ~flags[:, 2] & (x[:, 1] < 0.5)
     rows = np.flatnonzero(chrome | article)
     return rows, article[rows].astype(float)
 
@@ -265,21 +284,35 @@ def _edges(found: list[Block]) -> list[tuple[int, int, float]]:
     return out
 
 
-def main_text(page: str, weights: np.ndarray = PRIOR) -> str:
+@dataclass
+class Model:
+    weights: np.ndarray
+    strength: float = 1.0
+
+
+def labels_of(found: list[Block], model: Model, named: bool = True) -> np.ndarray:
+    """Which blocks are content; with `named`, the names of their containers count, too."""
+    z = features(found) @ model.weights
+    if named:
+        z = z + np.array([b.flags for b in found], float).reshape(len(found), 6) @ EVIDENCE
+    z = np.clip(z, -12, 12)
+    return minimum_cut(np.logaddexp(0, -z), np.logaddexp(0, z), [(a, b, w * model.strength) for a, b, w in _edges(found)])
+
+
+def main_text(page: str, model: Model | None = None) -> str:
     found = blocks(page)
     if not found:
         return ""
-    z = np.clip(features(found) @ weights, -12, 12)
-    keep = minimum_cut(np.logaddexp(0, -z), np.logaddexp(0, z), _edges(found))
-    return "\n".join(b.text for b, k in zip(found, keep) if k)
+    return "\n\n".join(b.text for b, k in zip(found, labels_of(found, model or Model(PRIOR))) if k)
 
 
-def fit(pages: DataFrame) -> np.ndarray:
-    """Weights from at most about SAMPLE_PAGES pages, chosen by a hash of page_id."""
+def fit(pages: DataFrame) -> Model:
+    """Weights and the edges' strength, from at most about SAMPLE_PAGES different pages, chosen by a hash of page_id."""
     total = pages.count()
     share = min(1.0, SAMPLE_PAGES / max(1, total))
+    chosen = pages.where(F.pmod(F.xxhash64(F.lit(3), "page_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).groupBy("page_id").agg(F.min("html").alias("html")).checkpoint()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page in batch.column("html").to_pylist():
                 found = blocks(page or "")
@@ -289,12 +322,24 @@ def fit(pages: DataFrame) -> np.ndarray:
                 kinds, times = np.unique(np.column_stack([x[rows], y]).round(2), axis=0, return_counts=True) if len(rows) else (np.zeros((0, len(FEATURES) + 1)), [])
                 yield pa.RecordBatch.from_arrays([pa.array(list(kinds), pa.list_(pa.float64())), pa.array(times, pa.int64())], names=["x", "n"])
 
-    chosen = pages.select("page_id", "html").where(F.pmod(F.xxhash64(F.lit(3), "page_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    rows = sorted((tuple(r.x), r.n) for r in chosen.mapInArrow(run, "x array<double>, n long").groupBy("x").agg(F.sum("n").alias("n")).collect())  # bounded by the sample
+    rows = sorted((tuple(r.x), r.n) for r in chosen.select("html").mapInArrow(examples, "x array<double>, n long").groupBy("x").agg(F.sum("n").alias("n")).collect())  # bounded by the sample
     if not rows:
-        return PRIOR
+        return Model(PRIOR)
     x = np.repeat(np.array([r[0] for r in rows]), [r[1] for r in rows], axis=0)
-    return train(x[:, :-1], x[:, -1])
+    weights = train(x[:, :-1], x[:, -1])
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = np.zeros(len(STRENGTHS), np.int64)
+        for batch in batches:
+            for page in batch.column("html").to_pylist():
+                found = blocks(page or "")
+                if found:
+                    told, y = _teachers(found, features(found))
+                    right += [int((labels_of(found, Model(weights, s), named=False)[told] == (y > 0)).sum()) for s in STRENGTHS]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(STRENGTHS)), pa.int64()), pa.array(right)], names=["which", "right"])
+
+    right = {r.which: r.right for r in chosen.select("html").mapInArrow(tried, "which long, right long").groupBy("which").agg(F.sum("right").alias("right")).collect()}
+    return Model(weights, STRENGTHS[max(range(len(STRENGTHS)), key=lambda i: (right.get(i, 0), -i))])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -305,11 +350,11 @@ def extract(pages: DataFrame) -> DataFrame:
     one page.  Repeated rows get equal texts; other columns are ignored.
     """
     T.prepare(pages.sparkSession)
-    weights = fit(pages)
+    model = fit(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page or "", weights) for page in batch.column("html").to_pylist()]
+            texts = [main_text(page or "", model) for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

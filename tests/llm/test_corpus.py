@@ -360,6 +360,20 @@ def test_packing_plans_are_close_to_the_bound():
     assert packing.configurations({}, 10) == []
 
 
+def test_packing_program_beats_largest_first_where_that_errs():
+    rnd, histogram, sequences = random.Random(1), Counter(), 0
+    while sequences < 200:  # triplets that fill a sequence exactly
+        a, b = rnd.randint(260, 480), rnd.randint(260, 480)
+        if 200 < 1000 - a - b < 500:
+            histogram.update([a, b, 1000 - a - b])
+            sequences += 1
+    plan, bound, placed = packing._planned(histogram, 1000, packing.ROUNDS)
+    greedy = sum(n for _, n in packing.configurations(histogram, 1000, rounds=0))
+    program = sum(n for _, n in plan)
+    assert program == _check_plan(histogram, 1000)
+    assert bound <= sequences <= program <= sequences + 3 < greedy and bound > sequences - 1 and placed > 0.9
+
+
 def test_packing(spark, table, empty):
     rows, docs = table
     got = packing.pack(docs, word_tokenizer(), capacity=256, end_id=1).collect()
@@ -447,6 +461,51 @@ def test_models_hold_out_their_fold_and_learn(spark, labelled, empty):
         assert scores(docs, labels.where("doc_id < 0")).count() == 902
 
 
+def test_label_model_posterior_is_that_of_the_enumerated_tree():
+    rnd = np.random.default_rng(5)
+    parent = np.array([-1, 0, 0, 2])
+    model = toxicity.LabelModel(0.3, parent, rnd.uniform(0.05, 0.95, (4, 2, 2)))
+    every = np.array([[m >> j & 1 for j in range(4)] for m in range(16)], float)
+
+    def joint(votes, y):
+        p = 0.3 if y else 0.7
+        for j, up in enumerate(parent):
+            fire = model.fire[j, y, int(votes[up]) if up >= 0 else 0]
+            p *= fire if votes[j] else 1 - fire
+        return p
+
+    both = np.array([[joint(v, y) for y in (0, 1)] for v in every])
+    assert abs(both.sum() - 1) < 1e-12  # a distribution
+    assert np.allclose(model.posterior(every), both[:, 1] / both.sum(1))
+
+
+def test_label_model_finds_accuracies_and_a_copied_voter_without_labels():
+    rnd = np.random.default_rng(6)
+    y = rnd.random(6000) < 0.3
+    fire = [(0.7, 0.02), (0.6, 0.05), (0.8, 0.1), (0.5, 0.03), (0.65, 0.08)]
+    votes = np.column_stack([np.where(y, rnd.random(6000) < a, rnd.random(6000) < b) for a, b in fire])
+    votes = np.column_stack([votes, np.where(rnd.random(6000) < 0.95, votes[:, 0], rnd.random(6000) < 0.3)])  # leans on voter 0
+    rows, where, times = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    model = toxicity.label_model(rows.astype(np.float32), times.astype(float), np.clip(rows.mean(1), 0.05, 0.95))
+    p = model.posterior(rows.astype(np.float32))[where.ravel()]
+    assert abs(model.share - 0.3) < 0.03 and (p > 0.5).mean() != y.mean()
+    assert ((p > 0.5) == y).mean() > 0.93
+    assert model.parent[5] == 0 or model.parent[0] == 5  # the correlation is a parameter of the model
+    lone = (votes[:, 0] & votes[:, 5]) & ~votes[:, 1:5].any(1)
+    assert lone.any() and (p[lone] < 0.999).all()  # two voters that copy each other are no two witnesses
+
+
+def test_toxicity_of_equal_texts_with_different_labels_and_odd_rows(spark, labelled):
+    docs, labels, marks = labelled
+    rows = [(7000, "idiot scum grublx gruby"), (7001, "idiot scum grublx gruby"), (None, "idiot scum"), (7002, " ".join(["clean"] * 50_000))]
+    more = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id", "text", "'x' as label", "1 as seed")
+    marked = labels.unionByName(spark.createDataFrame([(7000, 1, 1), (7001, 1, 0), (7000, 1, None)], "doc_id long, quality int, toxic int"))
+    first = {(r.doc_id, round(r.score, 9)) for r in toxicity.toxicity_scores(more, marked).collect()}
+    assert first == {(r.doc_id, round(r.score, 9)) for r in toxicity.toxicity_scores(more.repartition(7), marked).collect()}
+    scores = dict(first)
+    assert scores[7000] == scores[7001] > 0.5 > scores[7002] and None in scores
+
+
 def test_isotonic_is_monotonic():
     rnd = np.random.default_rng(3)
     s = rnd.normal(size=500)
@@ -511,7 +570,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_html_extraction(spark):
     main = html.main_text(PAGE)
-    assert main.split("\n") == ["A title & more", "First paragraph of the text, with bold words and a sentence.", "Second one — it is unclosed and ends here. After a break.", "Third paragraph."]
+    assert main.split("\n\n") == ["A title & more", "First paragraph of the text, with bold words and a sentence.", "Second one — it is unclosed and ends here. After a break.", "Third paragraph."]
     rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (4, "w", "<p"), (5, "x", "<nav><a href=1>only menu</a></nav>"), (1, "u", PAGE)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'z' as text")
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in html.extract(pages).collect()]
@@ -519,6 +578,39 @@ def test_html_extraction(spark):
     assert html.extract(pages.where("page_id < 0")).count() == 0
 
 
+def test_html_raw_tags_without_an_end_and_buttons():
+    page = "<article><p>Before it all, there was a first sentence.</p><svg width=3 /><p>After the drawing <button>OK</button>comes a second one.</p><select><option>x<p>A third sentence stands behind an open list.</p></article>"
+    assert html.main_text(page).split("\n\n")[:2] == ["Before it all, there was a first sentence.", "After the drawing comes a second one."]
+    assert "A third sentence stands behind an open list." in html.main_text(page)
+    assert html.main_text("<p>Kept text of a page, a sentence.</p><script>var a = '<p>never</p>'") == "Kept text of a page, a sentence."
+
+
+def test_html_cut_decides_blocks_in_unnamed_containers():
+    """Names are labels only: trained on pages that have them, tried on pages that have none, where costs alone err."""
+    rnd = random.Random(7)
+    sentence = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(n)).capitalize() + "."
+
+    def page(named):
+        menu = "".join(f"<li><a href=/{i}>{sentence(2)}</a></li>" for i in range(6)) + "<li>All of it</li>"
+        body = "".join(f"<p>{sentence(40)}, and {sentence(20)}</p>" for _ in range(3)) + "<ul><li>Yes</li></ul>" + "".join(f"<p>{sentence(50)}</p>" for _ in range(3))
+        a, b = ("nav", "article") if named else ("div", "div")
+        return f"<body><{a}><ul>{menu}</ul></{a}><{b}><h1>{sentence(5)}</h1>{body}</{b}></body>"
+
+    found = [html.blocks(page(True)) for _ in range(20)]
+    told = [html._teachers(f, html.features(f)) for f in found]
+    x = np.concatenate([html.features(f)[rows] for f, (rows, _) in zip(found, told)])
+    weights = html.train(x, np.concatenate([y for _, y in told]))
+    errs, right = 0, 0
+    for _ in range(10):
+        blocks = html.blocks(page(False))
+        truth = np.array([i >= 7 for i in range(len(blocks))])
+        alone = html.features(blocks) @ weights > 0
+        cut = html.labels_of(blocks, html.Model(weights, 2.0))
+        errs += int((alone != truth).sum())
+        right += int((cut == truth).sum() - (alone == truth).sum())
+    assert errs > 0 and right == errs  # what the costs alone get wrong, the cut puts right
+
+
 def test_stages_go_by_row_where_doc_ids_are_null_or_repeated(spark):
     rnd = random.Random(31)
     clean = [" ".join(rnd.choice([f"r{i}" for i in range(300)]) for _ in range(40)) for _ in range(8)]
