@@ -13,16 +13,17 @@ number cost one.  The rest goes through inverted lists:
             nothing, and shared shingles and set sizes are all that a check
             needs.
 3.  search  An owner's necessary prefix in the order by rarity names its
-            candidates: every pair of a list that sizes and places allow.
-            Where only components are asked for, an owner first meets the
-            owner that leads most of its prefix lists (a star, not all pairs
-            of a list), then, twice over, the lists that still hold several
-            components are searched: with another leader, then for every pair
-            between components.  Pairs inside one component need no check
-            there, as they cannot change it.
+            candidates.  It first meets the owner that leads most of its prefix
+            lists (a star, not all pairs of a list), then, twice over, the
+            lists that still hold several components are searched: with another
+            leader, then for every pair between components that sizes and
+            places allow.
 4.  check   `t_occurrence` takes one query set and a block of sets: short
             inverted lists are heap-merged, long ones binary-probed
             (DivideSkip), and what reaches the overlap is a link.
+5.  count   Links lie inside components, so each component's sets are dealt
+            into parts of BLOCK and every two parts are searched by
+            `t_occurrence`: a row an owner and part, never one a pair.
 """
 
 from __future__ import annotations
@@ -102,55 +103,67 @@ def _first_pass(k: int):
     return run
 
 
-def _pack(owner: np.ndarray, size: np.ndarray, gram: np.ndarray, df: np.ndarray | None = None) -> bytes:
-    """Entries sorted by owner, as runs: owners, sizes and lengths of the runs, then the shingles."""
-    edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    runs = np.diff(np.append(edge, len(owner))).astype(np.uint32)
+def _pack(owner: np.ndarray, gram: np.ndarray, df: np.ndarray | None = None) -> bytes:
+    """Entries sorted by owner, as runs of up to 255: owners and lengths of the runs, then the shingles, and owners that have them (65535: at least so many)."""
+    new = np.concatenate([[True], owner[1:] != owner[:-1]])
+    edge = np.flatnonzero(new)
+    runs = np.diff(np.append(edge, len(owner)))
+    if runs.max() > 255:
+        edge = np.flatnonzero((np.arange(len(owner)) - np.repeat(edge, runs)) % 255 == 0)
+        runs = np.diff(np.append(edge, len(owner)))
     head = np.array([len(edge), len(owner)], np.uint32).tobytes()
-    tail = b"" if df is None else df.astype(np.uint32).tobytes()
-    return b"".join([head, owner[edge].tobytes(), size[edge].astype(np.uint32).tobytes(), runs.tobytes(), gram.tobytes(), tail])
+    tail = b"" if df is None else np.minimum(df, 65535).astype(np.uint16).tobytes()
+    return b"".join([head, owner[edge].tobytes(), runs.astype(np.uint8).tobytes(), gram.tobytes(), tail])
 
 
 def _unpack(block: bytes, with_df: bool):
     runs, n = np.frombuffer(block, np.uint32, 2).tolist()
     at = 8
     owner = np.frombuffer(block, np.int64, runs, at)
-    size = np.frombuffer(block, np.uint32, runs, at + 8 * runs)
-    times = np.frombuffer(block, np.uint32, runs, at + 12 * runs)
-    at += 16 * runs
+    times = np.frombuffer(block, np.uint8, runs, at + 8 * runs)
+    at += 9 * runs
     gram = np.frombuffer(block, np.uint64, n, at)
-    df = np.frombuffer(block, np.uint32, n, at + 8 * n) if with_df else None
-    return np.repeat(owner, times), np.repeat(size, times), gram, df
+    df = np.frombuffer(block, np.uint16, n, at + 8 * n) if with_df else None
+    return np.repeat(owner, times), gram, df
 
 
-def _dealt(bucket: np.ndarray, owner, size, gram, df, hot: bool) -> pa.RecordBatch:
-    """A block for each bucket."""
+#: Kinds of blocks: entries on the way to their lists, entries on the way to their owners, sizes of owners.
+LISTS, OWNERS, SIZES = range(3)
+
+
+def _dealt(bucket: np.ndarray, kind: int, owner: np.ndarray, gram: np.ndarray, df: np.ndarray | None = None) -> pa.RecordBatch:
+    """A block for each bucket; of SIZES, gram holds the sizes."""
     order = np.lexsort((owner, bucket))
-    bucket, owner, size, gram = bucket[order], owner[order], size[order], gram[order]
+    bucket, owner, gram = bucket[order], owner[order], gram[order]
     df = df[order] if df is not None else None
     edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(bucket) else []
     ends = [*edge[1:], len(bucket)]
-    blocks = [_pack(owner[a:b], size[a:b], gram[a:b], df[a:b] if df is not None else None) for a, b in zip(edge, ends)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[edge], pa.int32()), pa.array([hot] * len(edge), pa.bool_()), pa.array(blocks, pa.binary())], names=["bucket", "hot", "block"]
-    )
+    blocks = [_pack(owner[a:b], gram[a:b], df[a:b] if df is not None else None) for a, b in zip(edge, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), pa.array([kind] * len(edge), pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "kind", "block"])
+
+
+def _by_owner(owner: np.ndarray, buckets: int) -> np.ndarray:
+    return (owner.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
 
 
 def _index_pass(k: int, buckets: int, hot: np.ndarray, copied: dict[int, int]):
-    """Blocks of (shingle, owner) by bucket of the shingle; those of hot shingles by any bucket, to be passed on."""
+    """Blocks of (shingle, owner) by bucket of the shingle; those of hot shingles, and the owners' sizes, by bucket of the owner."""
 
     def flush(parts):
-        owner, size, gram = (np.concatenate(x) for x in zip(*parts))
+        owner, gram = (np.concatenate(x) for x in zip(*parts))
         is_hot = np.zeros(len(gram), bool)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
             is_hot = hot[at] == gram
         cold = ~is_hot
         if cold.any():
-            yield _dealt((gram[cold] % np.uint64(buckets)).astype(np.int32), owner[cold], size[cold], gram[cold], None, False)
+            yield _dealt((gram[cold] % np.uint64(buckets)).astype(np.int32), LISTS, owner[cold], gram[cold])
         if is_hot.any():
             own = owner[is_hot]
-            yield _dealt((own.view(np.uint64) % np.uint64(buckets)).astype(np.int32), own, size[is_hot], gram[is_hot], np.full(len(own), 0xFFFFFFFF), True)
+            yield _dealt(_by_owner(own, buckets), OWNERS, own, gram[is_hot], np.full(len(own), 65535))
+        edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        own = owner[edge]
+        yield _dealt(_by_owner(own, buckets), SIZES, own, np.diff(np.append(edge, len(owner))).astype(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -165,7 +178,7 @@ def _index_pass(k: int, buckets: int, hot: np.ndarray, copied: dict[int, int]):
                         same = np.flatnonzero(owner == owner[r])
                         once[r] = any(ids[x] == lead for x in same)
             take = once[row]
-            parts.append((owner[row[take]], size[row[take]], gram[take]))
+            parts.append((owner[row[take]], gram[take]))
             held += int(take.sum())
             if held >= FLUSH_ENTRIES:
                 yield from flush(parts)
@@ -176,49 +189,41 @@ def _index_pass(k: int, buckets: int, hot: np.ndarray, copied: dict[int, int]):
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch], with_df: bool):
-    blocks = [_unpack(b, with_df) for batch in batches for b in batch.column("block").to_pylist()]
-    if not blocks:
-        return None
-    return tuple(np.concatenate([b[i] for b in blocks]) if with_df or i < 3 else None for i in range(4))
-
-
 def _lists(buckets: int):
     """Inverted lists of a task's shingles: entries of those with several owners, by bucket of the owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cold = []
         for batch in batches:
-            passed = batch.column("hot").to_numpy(zero_copy_only=False).astype(bool)
+            passed = batch.column("kind").to_numpy() != LISTS
             if passed.any():
                 yield batch.filter(pa.array(passed))
-            cold += [_unpack(b, False)[:3] for b in batch.filter(pa.array(~passed)).column("block").to_pylist()]
+            cold += [_unpack(b, False)[:2] for b in batch.filter(pa.array(~passed)).column("block").to_pylist()]
         if not cold:
             return
-        owner, size, gram = (np.concatenate(x) for x in zip(*cold))
+        owner, gram = (np.concatenate(x) for x in zip(*cold))
         del cold
         ordered = np.sort(gram)
         twice = ordered[1:][ordered[1:] == ordered[:-1]]
         seen = np.zeros(1 << 24, bool)
         seen[(twice >> np.uint64(40)).astype(np.int64)] = True
         keep = seen[(gram >> np.uint64(40)).astype(np.int64)]
-        owner, size, gram = owner[keep], size[keep], gram[keep]
+        owner, gram = owner[keep], gram[keep]
         order = np.lexsort((owner, gram))
-        owner, size, gram = owner[order], size[order], gram[order]
+        owner, gram = owner[order], gram[order]
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-        owner, size, gram = owner[new], size[new], gram[new]
+        owner, gram = owner[new], gram[new]
         if not len(gram):
             return
         edge = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         df = np.diff(np.append(edge, len(gram)))
         df = np.repeat(df, df)
         keep = df > 1
-        if keep.any():
-            own = owner[keep]
-            for a in range(0, len(own), FLUSH_ENTRIES):
-                cut = slice(a, a + FLUSH_ENTRIES)
-                yield _dealt((own[cut].view(np.uint64) % np.uint64(buckets)).astype(np.int32), own[cut], size[keep][cut], gram[keep][cut], df[keep][cut], False)
+        own, gram, df = owner[keep], gram[keep], df[keep]
+        for a in range(0, len(own), FLUSH_ENTRIES):
+            cut = slice(a, a + FLUSH_ENTRIES)
+            yield _dealt(_by_owner(own[cut], buckets), OWNERS, own[cut], gram[cut], df[cut])
 
     return run
 
@@ -227,18 +232,23 @@ def _shared(num: int, den: int):
     """Of each owner its shared shingles from rare to frequent, if they can reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gather(batches, True)
-        if got is None:
+        entries, sizes = [], []
+        for batch in batches:
+            for kind, block in zip(batch.column("kind").to_pylist(), batch.column("block").to_pylist()):
+                (sizes if kind == SIZES else entries).append(_unpack(block, kind != SIZES))
+        if not entries:
             return
-        owner, size, gram, df = got
+        owner, gram, df = (np.concatenate(x) for x in zip(*entries))
+        known, size = (np.concatenate(x) for x in zip(*(x[:2] for x in sizes)))
         order = np.lexsort((gram, df, owner))
-        owner, size, gram = owner[order], size[order], gram[order]
+        owner, gram = owner[order], gram[order]
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-        owner, size, gram = owner[new], size[new], gram[new]
+        owner, gram = owner[new], gram[new]
         edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         times = np.diff(np.append(edge, len(owner)))
-        full = size[edge].astype(np.int64)
+        order = np.argsort(known)
+        full = size[order[np.searchsorted(known, owner[edge], sorter=order)]].astype(np.int64)
         need = -(-num * full // den)
         good = times >= need
         keep = np.repeat(good, times)
@@ -340,6 +350,51 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.unionByName(asks).repartition("query", "salt").sortWithinPartitions("query", "salt", "role").mapInArrow(_searched(num, den), "a long, b long").checkpoint()
 
 
+def _counted(num: int, den: int):
+    """Rows sorted by (component, i, j, part): of each owner the links between its part and the other, in blocks of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts = None, ([], [])
+
+        def found():
+            if group is None:
+                return
+            inside = group[1] == group[2]
+            asking, asked = parts[0], parts[0] if inside else parts[1]
+            links: dict[int, int] = {}
+            for owner, n, grams in asking:
+                got = [x for x in t_occurrence(grams, n, asked, num, den) if x != owner]
+                links[owner] = links.get(owner, 0) + len(got)
+                if not inside:
+                    for x in got:
+                        links[x] = links.get(x, 0) + 1
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(list(links), pa.int64()), pa.array(list(links.values()), pa.int64())], names=["owner", "links"])
+
+        for batch in batches:
+            lists = batch.column("grams")
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for r, (component, i, j, part, owner, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "part", "owner", "n")))):
+                if group != (component, i, j):
+                    yield from found()
+                    group, parts = (component, i, j), ([], [])
+                parts[part != i].append((owner, n, flat[at[r] : at[r + 1]].copy()))
+        yield from found()
+
+    return run
+
+
+def _link_counts(sets: DataFrame, joined: DataFrame, num: int, den: int) -> DataFrame:
+    """(owner, n_links): all links of each owner.  They lie inside its component, whose sets are dealt out and every two parts compared."""
+    own = sets.join(joined.select(F.col("id").alias("owner"), "component"), "owner").select("component", "owner", "n", "grams")
+    parts = joined.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    own = own.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("owner"), "parts").cast("int"))
+    own = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select("component", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "owner", "n", "grams")
+    counts = own.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "part").mapInArrow(_counted(num, den), "owner long, links long")
+    return counts.groupBy("owner").agg(F.sum("links").alias("n_links")).where("n_links > 0").checkpoint()
+
+
 def ngram_classes(documents: DataFrame, shingle: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, n_links.
 
@@ -354,7 +409,7 @@ def ngram_classes(documents: DataFrame, shingle: int = 5, num: int = 75, den: in
 
 
 def _classes(documents: DataFrame, shingle: int, num: int, den: int, every: bool) -> DataFrame:
-    """ngram_classes; without `every`, no more links than make the components, and no n_links."""
+    """ngram_classes; without `every`, no n_links."""
     spark = T.prepare(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = texts.mapInArrow(_first_pass(shingle), "doc_id long, n_shingles long, owner long, gram long, times long").checkpoint()
@@ -367,8 +422,8 @@ def _classes(documents: DataFrame, shingle: int, num: int, den: int, every: bool
     copied = {r.owner: r.lead for r in classes.where((F.col("copies") >= least) & (F.col("lost") == 0)).collect()}
 
     tasks = T.pieces_of(spark, entries, TASK_ENTRIES)
-    buckets = max(256, 4 * tasks)
-    block = "bucket int, hot boolean, block binary"
+    buckets = 4 * tasks
+    block = "bucket int, kind int, block binary"
     indexed = texts.mapInArrow(_index_pass(shingle, buckets, np.sort(hot.view(np.uint64)), copied), block)
     shared = indexed.repartition(tasks, "bucket").mapInArrow(_lists(buckets), block)
     sets = shared.repartition(tasks, "bucket").mapInArrow(_shared(num, den), "owner long, n long, prefix int, grams array<long>").checkpoint()
@@ -402,16 +457,14 @@ def _classes(documents: DataFrame, shingle: int, num: int, den: int, every: bool
             .distinct()
         )
 
-    if every:
-        links = _links(pairs_of(prefixes, "owner < owner2"), sets, num, den)
-    else:
-        links = _links(led_by(prefixes, central), sets, num, den)
-        rest = still_open(links)
-        if not rest.isEmpty():
-            links = links.unionByName(_links(led_by(rest, F.min("owner")), sets, num, den))
-            links = links.unionByName(_links(pairs_of(still_open(links), "owner < owner2 and component <> component2"), sets, num, den))
-    joined = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("owner")).groupBy("owner").agg(F.count("*").alias("n_links"))
+    links = _links(led_by(prefixes, central), sets, num, den)
+    rest = still_open(links)
+    if not rest.isEmpty():
+        links = links.unionByName(_links(led_by(rest, F.min("owner")), sets, num, den))
+        links = links.unionByName(_links(pairs_of(still_open(links), "owner < owner2 and component <> component2"), sets, num, den))
+    joined = components(links).checkpoint()
+    T.release(spark)
+    degree = _link_counts(sets, joined, num, den) if every else joined.select(F.col("id").alias("owner"), F.lit(None).cast("long").alias("n_links")).where("false")
     named = classes.join(joined.withColumnRenamed("id", "owner"), "owner", "left").join(degree, "owner", "left")
     named = named.withColumn("component", F.coalesce("component", "owner")).select("owner", "lead", "component", "n_links")
     leads = named.groupBy("component").agg(F.min("lead").alias("component_id"))
