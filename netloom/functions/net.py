@@ -24,11 +24,16 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def stripped(line: Column | str) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
+
 def v4_number(ip: Column) -> Column:
-    """A dotted address as BIGINT; null if it is none."""
+    """A dotted address as BIGINT; null if it is none, as with leading zeros."""
 
     def number(parts: Column) -> Column:
-        good = (F.size(parts) == 4) & F.forall(parts, lambda p: F.coalesce(p.rlike("^[0-9]{1,3}$"), F.lit(False)))
+        good = (F.size(parts) == 4) & F.forall(parts, lambda p: F.coalesce(p.rlike("^(0|[1-9][0-9]{0,2})$"), F.lit(False)))
         n = F.aggregate(F.transform(parts, lambda p: p.cast("bigint")), F.lit(0).cast("bigint"), lambda a, p: F.when(p <= 255, a * 256 + p))
         return F.when(good, n)
 

@@ -37,6 +37,11 @@ def _new_connection() -> Column:
     return S.is_new_connection(F.col("proto"), F.col("tcp_flags"))
 
 
+def _slim(df: DataFrame, detail: Column, *more: str) -> DataFrame:
+    """What an alert needs of a packet: no payload goes through a shuffle."""
+    return df.select(*dict.fromkeys([*_CARRIED, *more]), detail.alias("detail"))
+
+
 def _draft(df: DataFrame, rule: str, severity, detail: Column, count, window_s: int, sig_ord=0) -> DataFrame:
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     return df.select(
@@ -88,7 +93,7 @@ def _counted(df: DataFrame, keys: list[str], cfg, rule: str, detail: Column, mac
     if not ordered:
         return fold(df, keys, machine, rule, cfg.severity, cfg.window_s)
     counted = df.withColumn("n", count_at_arrival(keys, cfg.window_s * SECOND)).where(F.col("n") >= cfg.threshold)
-    passed = cooldown(counted.withColumn("detail", detail), keys, cfg.cooldown_s * SECOND)
+    passed = cooldown(_slim(counted, detail, *keys, "n"), keys, cfg.cooldown_s * SECOND)
     return _draft(passed, rule, cfg.severity, F.col("detail"), F.col("n"), cfg.window_s)
 
 
@@ -130,7 +135,7 @@ def syn_flood(p: DataFrame, cfg, ordered: bool = True) -> DataFrame:
         F.lit("SYN flood on "), "end_ip", F.lit(":"), F.col("end_port").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" SYNs, "),
         F.col("answers").cast("string"), F.lit(" SYN-ACKs, completion ratio "), F.format_string("%.2f", F.when(ratio * 8 % 1 == 0, F.bround(ratio, 2)).otherwise(ratio)), F.lit(f" in {cfg.window_s}s"),
     )
-    passed = cooldown(hits.withColumn("detail", detail), keys, cfg.cooldown_s * SECOND)
+    passed = cooldown(_slim(hits, detail, *keys, "n"), keys, cfg.cooldown_s * SECOND)
     return _draft(passed, "syn-flood", cfg.severity, F.col("detail"), F.col("n"), cfg.window_s)
 
 
@@ -188,14 +193,14 @@ def beaconing(p: DataFrame, cfg, ordered: bool = True) -> DataFrame:
 def threat_intel(p: DataFrame, cfg, intel: DataFrame) -> DataFrame:
     hits = lookups.longest_prefix(p, intel, "peer_ip", ["source"])
     detail = F.concat(F.lit("peer "), "peer_ip", F.lit(" matches threat feed '"), F.coalesce("source", F.lit("blocklist")), F.lit("'"))
-    return _draft(cooldown(hits.withColumn("detail", detail), ["peer_ip"], cfg.cooldown_s * SECOND), "threat-intel-hit", cfg.severity, F.col("detail"), 1, 0)
+    return _draft(cooldown(_slim(hits, detail), ["peer_ip"], cfg.cooldown_s * SECOND), "threat-intel-hit", cfg.severity, F.col("detail"), 1, 0)
 
 
 def suspicious_port(p: DataFrame, cfg, ordered: bool = True) -> DataFrame:
     hit = lambda c: F.when(F.col(c).isin(cfg.ports), F.col(c))
     hits = p.withColumn("hit", F.coalesce(hit("src_port"), hit("dst_port"))).where("hit is not null")
     detail = F.concat(F.lit("traffic on suspicious/backdoor port "), F.col("hit").cast("string"))
-    return _draft(cooldown(hits.withColumn("detail", detail), ["peer_ip"], cfg.cooldown_s * SECOND), "suspicious-port", cfg.severity, F.col("detail"), 1, 0)
+    return _draft(cooldown(_slim(hits, detail), ["peer_ip"], cfg.cooldown_s * SECOND), "suspicious-port", cfg.severity, F.col("detail"), 1, 0)
 
 
 def new_listener(p: DataFrame, cfg, listening: list[int]) -> DataFrame:
@@ -234,7 +239,7 @@ def custom_signature(p: DataFrame, cfg, signatures: list[SignatureCfg]) -> DataF
     hits = p.withColumn("sig", F.explode(matched)).select("*", F.col("sig.name").alias("sig_name"))
     detail = F.concat(F.lit("signature '"), "sig.name", F.lit("' ["), "sig.label", F.lit("] matched "), "proto", F.lit(" "), "direction", F.lit(" from "), "peer_ip")
     keys = ["peer_ip", "sig_name"]
-    passed = suppress_after(cooldown(hits.withColumn("detail", detail), keys, cfg.cooldown_s * SECOND), keys, cfg.suppress_after)
+    passed = suppress_after(cooldown(_slim(hits, detail, *keys, "sig"), keys, cfg.cooldown_s * SECOND), keys, cfg.suppress_after)
     return _draft(passed, "custom-signature", F.col("sig.severity"), F.col("detail"), 1, 0, F.col("sig.ord"))
 
 

@@ -126,9 +126,9 @@ def protocol_name(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", S.proto_name(F.col("p_partkey") % 64).alias("proto"))
 
 
-@query("SELECT doc_id, instr(translate(substr(text, 3, 512), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the ') > 0 AS folded, instr(substr(text, 1, 64), 'Th') > 0 AS plain FROM documents WHERE lang = 'en' AND length(text) = strlen(text)")
+@query("SELECT doc_id, regexp_matches(substr(hex(encode(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))), 5, 1024), '^(..)*74686520') AS folded, regexp_matches(substr(hex(encode(text)), 1, 128), '^(..)*5468') AS plain FROM documents")
 def content_match(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' AND length(text) = octet_length(text)")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     b = F.col("text").cast("binary")
     return d.select("doc_id", S.content_match(b, b"THE ", True, 2, 512).alias("folded"), S.content_match(b, b"Th", depth=64).alias("plain"))
 
@@ -223,11 +223,11 @@ def feed_stats(spark, sf_dir):
     return feeds.feed_stats(_feed(spark, sf_dir))
 
 
-@query("SELECT CAST(floor(v.value * 1) AS BIGINT) AS bucket, arg_max(source, feed) AS source FROM (SELECT s_suppkey % 20 AS value, 'first' AS source, 0 AS feed FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey % 20, 'second', 1 FROM supplier WHERE s_suppkey % 7 = 0) v GROUP BY 1")
+@query("SELECT CAST(floor(v.value * 1) AS BIGINT) AS bucket, arg_max(source, feed) AS source FROM (SELECT s_suppkey % 2000 AS value, 'first' AS source, 0 AS feed FROM supplier UNION ALL SELECT 3 * s_suppkey % 2000, 'second', 1 FROM supplier) v GROUP BY 1")
 def feed_merge(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    shape = lambda d, name: d.select(F.lit(4).alias("family"), F.lit(32).alias("prefix_len"), (F.col("s_suppkey") % 20).cast("string").alias("prefix_bits"), F.lit(name).alias("source"))
-    merged = lookups.merge_prefixes([shape(s.where("s_suppkey % 3 = 0"), "first"), shape(s.where("s_suppkey % 7 = 0"), "second")])
+    shape = lambda times, name: s.select(F.lit(4).alias("family"), F.lit(32).alias("prefix_len"), (times * F.col("s_suppkey") % 2000).cast("string").alias("prefix_bits"), F.lit(name).alias("source"))
+    merged = lookups.merge_prefixes([shape(1, "first"), shape(3, "second")])
     return merged.select(F.col("prefix_bits").cast("bigint").alias("bucket"), "source")
 
 

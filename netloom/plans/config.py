@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 import ipaddress
 import tomllib
+import warnings
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
@@ -139,6 +141,14 @@ class SignatureCfg:
         return f"sid {self.sid}" + (f": {self.msg}" if self.msg is not None else "")
 
 
+# Limits that configurations must keep (section, field, least, most).
+LIMITS = (
+    ("port_scan", "min_targets", 2, None), ("brute_force", "threshold", 2, None), ("syn_flood", "max_completion_ratio", 0, 1),
+    ("reflection_amplification", "min_response_bytes", 1, None), ("dns_tunnel", "entropy_threshold", 0, 8), ("icmp_tunnel", "max_payload", 8, None),
+    ("beaconing", "min_samples", 3, None), ("beaconing", "max_jitter_cv", 0, 1), ("new_listener", "min_sources", 2, None),
+)
+
+
 @dataclass
 class RulesCfg:
     """`[rules.*]`; section names with dashes are the rules' own."""
@@ -187,7 +197,13 @@ class RulesCfg:
 
     @classmethod
     def from_toml(cls, text: str) -> RulesCfg:
-        cfg = cls.from_dict(tomllib.loads(text).get("rules", {}))
+        table = tomllib.loads(text)
+        # a table that looks like a misspelt [rules] is refused, others belong to other parts of a configuration
+        if near := [k for k in table if k != "rules" and difflib.get_close_matches(k, ["rules"], 1, 0.6)]:
+            raise ValueError(f"unknown table {near[0]!r}; rules stand under [rules]")
+        cfg = cls.from_dict(table.get("rules", {}))
+        if cfg.max_tracked_keys != cls.max_tracked_keys:
+            warnings.warn("max_tracked_keys has no effect: state ends by time, no live key is dropped", stacklevel=2)
         if problems := cfg.validate():
             raise ValueError("; ".join(problems))
         return cfg
@@ -197,45 +213,36 @@ class RulesCfg:
         return cls.from_toml(Path(path).read_text())
 
     def validate(self) -> list[str]:
-        """Every problem, in one list."""
+        """Every problem, in one list: sections in the order of their fields, then single limits, then signatures."""
+        sections = [(f.name, getattr(self, f.name)) for f in fields(self) if isinstance(getattr(self, f.name), Section)]
+        checks = [("rules", "max_tracked_keys", self.max_tracked_keys, 1000, None)]
         out = []
+        for name, section in sections:
+            if hasattr(section, "severity") and section.severity not in ("low", "medium", "high"):
+                out.append(f"[{name.replace('_', '-')}] severity is {section.severity!r}, not one of low, medium, high")
+            if hasattr(section, "ports") and not section.ports:
+                out.append(f"[{name.replace('_', '-')}] ports lists no port")
+            timed = ("window_s", "cooldown_s") if hasattr(section, "window_s") else ("cooldown_s",) if name == "custom_signature" else ()
+            checks += [(name, key, getattr(section, key), 1, None) for key in timed]
+        checks += [(name, key, getattr(getattr(self, name), key), least, most) for name, key, least, most in LIMITS]
+        checks.append(("beaconing", "max_samples", self.beaconing.max_samples, self.beaconing.min_samples, None))
+        for name, key, value, least, most in checks:
+            if value < least or (most is not None and value > most):
+                out.append(f"[{name.replace('_', '-')}] {key} is {value}, allowed is {least} to {most if most is not None else 'any'}")
 
         def need(ok: bool, text: str) -> None:
             if not ok:
                 out.append(text)
 
-        need(self.max_tracked_keys >= 1000, "max_tracked_keys must be >= 1000")
-        for f in fields(self):
-            section = getattr(self, f.name)
-            if not isinstance(section, Section):
-                continue
-            name = f.name.replace("_", "-")
-            need(section.severity in ("low", "medium", "high"), f"{name}: severity must be low, medium or high")
-            if hasattr(section, "window_s"):
-                need(section.window_s > 0, f"{name}: window_s must be > 0")
-                need(section.cooldown_s > 0, f"{name}: cooldown_s must be > 0")
-            if hasattr(section, "ports"):
-                need(bool(section.ports), f"{name}: ports must not be empty")
-        need(self.custom_signature.cooldown_s > 0, "custom-signature: cooldown_s must be > 0")
-        need(self.port_scan.min_targets >= 2, "port-scan: min_targets must be >= 2")
-        need(self.brute_force.threshold >= 2, "brute-force: threshold must be >= 2")
-        need(0 <= self.syn_flood.max_completion_ratio <= 1, "syn-flood: max_completion_ratio must be within 0.0..=1.0")
-        need(self.reflection_amplification.min_response_bytes > 0, "reflection-amplification: min_response_bytes must be > 0")
-        need(0 <= self.dns_tunnel.entropy_threshold <= 8, "dns-tunnel: entropy_threshold must be within 0.0..=8.0")
-        need(self.icmp_tunnel.max_payload >= 8, "icmp-tunnel: max_payload must be >= 8")
-        need(self.beaconing.min_samples >= 3, "beaconing: min_samples must be >= 3")
-        need(0 <= self.beaconing.max_jitter_cv <= 1, "beaconing: max_jitter_cv must be within 0.0..=1.0")
-        need(self.beaconing.max_samples >= self.beaconing.min_samples, "beaconing: max_samples must be >= min_samples")
-        need(self.new_listener.min_sources >= 2, "new-listener: min_sources must be >= 2")
         for i, s in enumerate(self.signature):
-            need(bool(s.name.strip()), f"signature #{i}: name must not be empty")
-            need(s.protocol in (None, "tcp", "udp", "icmp"), f"signature {s.name!r}: protocol must be tcp, udp or icmp")
-            need(s.direction in (None, "in", "out"), f"signature {s.name!r}: direction must be in or out")
-            need(bool(s.protocol or s.direction or s.ports or s.peer_cidr), f"signature {s.name!r}: set protocol, direction, ports or peer_cidr")
+            need(bool(s.name.strip()), f"signature {i} has no name")
+            need(s.protocol in (None, "tcp", "udp", "icmp"), f"signature {s.name!r} names the unknown protocol {s.protocol!r}")
+            need(s.direction in (None, "in", "out"), f"signature {s.name!r} names the unknown direction {s.direction!r}")
+            need(bool(s.protocol or s.direction or s.ports or s.peer_cidr), f"signature {s.name!r} would match every packet: it needs a protocol, direction, port or peer")
             for cidr in s.peer_cidr:
                 try:
                     ipaddress.ip_network(cidr, strict=False)
-                    need("/" in cidr, f"signature {s.name!r}: invalid peer_cidr {cidr!r}")
+                    need("/" in cidr, f"signature {s.name!r} has {cidr!r} among its peers, which is no prefix")
                 except ValueError:
-                    out.append(f"signature {s.name!r}: invalid peer_cidr {cidr!r}")
+                    out.append(f"signature {s.name!r} has {cidr!r} among its peers, which is no prefix")
         return out

@@ -7,6 +7,7 @@ import time
 import urllib.request
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,25 +95,41 @@ def metrics_text(counters: dict[str, float], by_rule: dict[str, int], prefix: st
 
 
 def webhook(url: str, token: str | None = None, tries: int = 3, wait_s: float = 0.5, send: Callable | None = None):
-    """A function for foreachBatch that posts a batch's alerts from the executors, with growing waits between tries."""
+    """A function for foreachBatch that posts a batch's alerts from the executors, with growing waits between tries.
+
+    Its `totals` count the alerts delivered, and those given up after all tries.
+    """
 
     def post(body: bytes) -> None:
         request = urllib.request.Request(url, body, {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {}))
         urllib.request.urlopen(request, timeout=10).close()
 
     deliver = send or post
-
-    def partition(rows) -> None:
-        for row in rows:
-            for attempt in range(tries):
-                try:
-                    deliver(row.value.encode())
-                    break
-                except OSError:
-                    if attempt + 1 < tries:
-                        time.sleep(wait_s * 2**attempt)
-
-    return lambda alerts, batch_id: json_lines(alerts).foreachPartition(partition)
+    totals = {"delivered": 0, "failed": 0}
+
+    def partition(batches):
+        delivered = failed = 0
+        for batch in batches:
+            for value in batch["value"]:
+                for attempt in range(tries):
+                    try:
+                        deliver(value.encode())
+                        delivered += 1
+                        break
+                    except OSError:
+                        if attempt + 1 < tries:
+                            time.sleep(wait_s * 2**attempt)
+                else:
+                    failed += 1
+        yield pd.DataFrame({"delivered": [delivered], "failed": [failed]})
+
+    def batch(alerts: DataFrame, batch_id: int) -> None:
+        found = json_lines(alerts).mapInPandas(partition, "delivered long, failed long").agg(F.sum("delivered"), F.sum("failed")).first()
+        totals["delivered"] += found[0] or 0
+        totals["failed"] += found[1] or 0
+
+    batch.totals = totals
+    return batch
 
 
 def run_state(counters: dict, path: str, spark) -> None:

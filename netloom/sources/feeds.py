@@ -11,7 +11,7 @@ from ..operators import lookups
 
 def tokens(lines: DataFrame) -> DataFrame:
     """The first word of each line before a comment."""
-    word = F.element_at(F.split(F.trim(F.split("value", "#")[0]), r"\s+"), 1)
+    word = F.regexp_extract(F.split("value", "#")[0], r"\S+", 0)
     return lines.select("*", word.alias("token")).where("token <> ''")
 
 
@@ -45,12 +45,12 @@ def load_feeds(spark: SparkSession, paths: dict[str, str], last_good: DataFrame
 
 def listening_ports(lines: DataFrame) -> DataFrame:
     """Ports in state LISTEN of /proc/net/tcp and tcp6 lines."""
-    words = F.split(F.trim("value"), r"\s+")
+    words = F.split(net.stripped("value"), r"\s+")
     port = F.conv(F.element_at(F.split(F.get(words, 1), ":"), -1), 16, 10).cast("int")
     return lines.where(F.get(words, 3) == "0A").select(port.alias("port")).distinct()
 
 
 def resolvers(lines: DataFrame) -> DataFrame:
     """Addresses of resolv.conf's nameserver lines."""
-    words = F.split(F.trim("value"), r"\s+")
+    words = F.split(net.stripped("value"), r"\s+")
     return lines.where(F.get(words, 0) == "nameserver").select(F.get(words, 1).alias("ip")).where(net.v4_number(F.col("ip")).isNotNull() | F.col("ip").contains(":")).distinct()

@@ -28,7 +28,7 @@ def _port(c: Column) -> Column:
 
 def parse(lines: DataFrame) -> DataFrame:
     """(src, dst, sport, dport, proto, start) of each usable line; other columns are carried."""
-    line = F.trim("value")
+    line = net.stripped("value")
     words = F.split(line, r"\s+")
     is_json = line.startswith("{")
     text = {"src": 3, "dst": 4, "sport": 5, "dport": 6, "proto": 7, "start": 10}
@@ -85,6 +85,7 @@ def read(spark: SparkSession, path: str, hosts: list[str] = ()) -> DataFrame:
 
 
 def stream(spark: SparkSession, path: str, hosts: list[str] = ()) -> DataFrame:
-    """The same from a folder into which files are dropped; seq is the flow's start."""
+    """The same from a folder into which files are dropped; seq is the flow's start in us, with a hash of file and line to tell flows of one second apart."""
     lines = spark.readStream.text(path)
-    return packets(parse(lines.withColumn("seq", F.lit(0).cast("long"))).withColumn("seq", F.col("start")), hosts)
+    apart = F.pmod(F.xxhash64("_metadata.file_path", "value"), F.lit(1_000_000))
+    return packets(parse(lines.withColumn("seq", apart)).withColumn("seq", F.col("start") * 1_000_000 + F.col("seq")), hosts)
