@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes; a longer single text is one pass.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 REPO = str(Path(__file__).resolve().parents[2])
 
 _SPACE = np.zeros(256, bool)
