@@ -121,13 +121,16 @@ def labelled(documents: DataFrame, labels: DataFrame, target: str, learn: Column
     """(doc_id, label, text) of at most about `most` labelled rows that `learn` allows, chosen by a hash of doc_id.
 
     Several labels of one document count as their largest; null labels don't
-    count.  The chosen labels are few by that bound, so they are broadcast.
+    count.  The chosen labels are few by that bound, so they are broadcast.  Of
+    documents that share a doc_id the one whose text has the least hash is
+    taken, so that rows are as few as labels.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("label")).where(learn)
     total = known.count()
     share = min(1.0, most / max(1, total))
     chosen = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def scored(documents: DataFrame, score: Callable[[pa.Array], np.ndarray]) -> DataFrame:

@@ -671,3 +671,39 @@ def test_pipeline_stages_on_one_small_table(spark, tmp_path):
     assert counts[3].keys() == counts[2].keys() - {61}
     assert {r.doc_id for r in kept.collect()} == counts[3].keys()
     assert hashlib.md5(counts[3][5].encode()).hexdigest() == hashlib.md5(texts[5].encode()).hexdigest()
+
+
+def test_pipeline_run_on_null_empty_and_repeated_rows_and_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(41)
+    texts = [" ".join(rnd.choice([f"p{i}" for i in range(300)]) for _ in range(60)) for _ in range(12)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs += [(20, None, None, None, None), (21, "", "en", "s", 0), (None, texts[5], "en", "s", 1), docs[3], (None, None, "en", "s", 0)]
+    for name, rows in (("full", docs), ("none", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(0, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "x y")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect())
+    # line dedup leaves the copies of texts 3 and 5 empty; rows without shingles all stay
+    assert got == Counter([*range(12), 20, 21, None, None]) or got == Counter([*range(12), 3, 20, 21, None, None])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_labelled_rows_are_as_few_as_labels(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (None, 1), (4, 1)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    rows = stats.labelled(docs, labels, "toxic", F.lit(True)).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(1, 1), (2, 1)]
+
+
+def test_line_dedup_of_a_hot_segment_and_ties(spark):
+    rnd = random.Random(17)
+    head = " ".join(rnd.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(12))
+    every = [head + " " + "".join(rnd.choice("abcdefgh") for _ in range(60)) for _ in range(60)]  # one segment in all, no copies
+    every += [every[0][:-1] + "z", every[0], every[0]]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect()}
+    assert got == {i: int(i >= 60) for i in range(63)}
