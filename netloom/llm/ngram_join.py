@@ -22,7 +22,7 @@ number cost one.  The rest goes through inverted lists:
             inverted lists are heap-merged, long ones binary-probed
             (DivideSkip), and what reaches the overlap is a link.
 5.  count   Links lie inside components, so each component's sets are dealt
-            into parts of BLOCK and every two parts are searched by
+            into parts of PART and every two parts are searched by
             `t_occurrence`: a row an owner and part, never one a pair.
 """
 
@@ -44,6 +44,8 @@ from .graph import components
 MU = 0.0085
 #: Sets that one search holds at once.
 BLOCK = 512
+#: Sets of one part of a component, when links are counted.
+PART = 256
 #: A shingle is hot in a slice if so many of its owners, at least HOT_LEAST, have it.
 HOT_SHARE, HOT_LEAST = 0.02, 8
 #: Hot shingles and hot copies make at least this share of the corpus, so they are few.
@@ -387,7 +389,7 @@ def _counted(num: int, den: int):
 def _link_counts(sets: DataFrame, joined: DataFrame, num: int, den: int) -> DataFrame:
     """(owner, n_links): all links of each owner.  They lie inside its component, whose sets are dealt out and every two parts compared."""
     own = sets.join(joined.select(F.col("id").alias("owner"), "component"), "owner").select("component", "owner", "n", "grams")
-    parts = joined.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = joined.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     own = own.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("owner"), "parts").cast("int"))
     own = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = own.select("component", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "owner", "n", "grams")
