@@ -41,7 +41,7 @@ def _windows(window: int, shingle: int):
             k = shingle
             for row, item in enumerate(batch.column("item_id").to_pylist()):
                 lo, hi = w.first[row], w.first[row + 1]
-                if lo == hi or item is None:
+                if lo == hi:
                     continue
                 n = min(window, hi - lo)
                 seen = {}
@@ -53,7 +53,7 @@ def _windows(window: int, shingle: int):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "win": pa.array([x.decode() for x in seen], pa.string()),
-                        "item_id": pa.array([str(item)] * len(seen), pa.string()),
+                        "item_id": pa.array([None if item is None else str(item)] * len(seen), pa.string()),
                         "len": pa.array([n] * len(seen), pa.int32()),
                         "size": pa.array([size] * len(seen), pa.int32()),
                         "grams": pa.array([grams[at - lo : at - lo + n - size + 1] for at in seen.values()], pa.list_(pa.int64())),
@@ -105,8 +105,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     """One row per document row: doc_id, n_words, n_hit, items (sorted item ids as strings), spans.
 
     `spans` lists (start, len) in words of each window found.  Null and empty
-    texts have no words and no hits; items without words are ignored; an empty
-    benchmark hits nothing; repeated documents are reported one by one, and
+    texts have no words and no hits; items without words are ignored, and those
+    without an item_id hit words but are not listed; an empty benchmark hits nothing; repeated documents are reported one by one, and
     repeated items each count.  Other columns are ignored, whatever they are
     called.  Rows that share a doc_id are told apart by the text's hash; rows
     equal in both are counted together and given back as often as they came.

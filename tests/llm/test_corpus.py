@@ -86,14 +86,14 @@ def test_components_of_chains_stars_and_loops(spark):
 
 def test_decontamination(spark, table, empty):
     rows, docs = table
-    items = [(1, " ".join((rows[30][1] or "").split()[:14])), (2, "One"), (3, None), (4, "..."), (1, "two WORDS"), (5, "never seen words here at all in this small table of documents")]
+    items = [(1, " ".join((rows[30][1] or "").split()[:14])), (2, "One"), (3, None), (4, "..."), (1, "two WORDS"), (None, "a b"), (5, "never seen words here at all in this small table of documents")]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, key string")
     windows = defaultdict(set)
     for item, text in items:
         words = ALNUM.findall((text or "").translate(LOWER))
         n = min(10, len(words))
         for a in range(len(words) - n + 1 if n else 0):
-            windows[tuple(words[a : a + n])].add(str(item))
+            windows[tuple(words[a : a + n])] |= {str(item)} - {"None"}
     expected = []
     for doc_id, text in rows:
         words = ALNUM.findall((text or "").translate(LOWER))
