@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, decontaminate, html, lines, ngram_join, packing, quality, rules, tokens, toxicity
+from . import attribution, decontaminate, divergence, html, lines, mixing, ngram_join, packing, quality, resampling, rules, tokens, toxicity
 from .encode import word_tokenizer
 from .text import read
 
@@ -66,6 +66,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end_id=1)
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(read(spark, sf_dir, "documents"), (3, 1, 2), percent=150, most=2)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -99,6 +113,43 @@ links AS (
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)""",
+    "op11_source_mixing": f"""
+WITH docs AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM docs GROUP BY source),
+sums AS (
+  SELECT *, sum(source_size) OVER () AS s, sum(weight) OVER () AS w, coalesce(sum(source_size) OVER before, 0) AS s0, coalesce(sum(weight) OVER before, 0) AS w0
+  FROM sources WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT *, (150 * s - 200 * s0) * weight > 200 * source_size * (w - w0) AS over FROM sums),
+plan AS (
+  SELECT source, source_size, CASE WHEN over THEN CAST(2 * source_size AS DOUBLE) ELSE
+    CAST((150 * s - 200 * coalesce(sum(source_size) FILTER (over) OVER (), 0)) * weight AS DOUBLE) / CAST(100 * sum(weight) FILTER (NOT over) OVER () AS DOUBLE) END AS target
+  FROM cut),
+each AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * {mixing.UNIT}) AS BIGINT) ELSE 0 END AS each,
+    CAST('0x' || substr(sha256('11:' || coalesce(source, '')), 1, 6) AS BIGINT) AS start
+  FROM plan),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS place FROM docs)
+SELECT doc_id, size, source_size, target, ((place * each + start) // {mixing.UNIT} - ((place - 1) * each + start) // {mixing.UNIT}) * size AS taken
+FROM ranked r JOIN each e ON r.source IS NOT DISTINCT FROM e.source""",
+    "op12_source_divergence": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+found AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+terms AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term),
+shares AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * CAST(n + 2 AS HUGEINT)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p,
+    1 + (1000000000 * CAST(sum(n) OVER (PARTITION BY lang, term) + 2 AS HUGEINT)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+  FROM cells JOIN terms USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 10""",
 }
 
 
