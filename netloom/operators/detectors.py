@@ -22,7 +22,7 @@ from ..functions import scalars as S
 from ..plans.config import RulesCfg, SignatureCfg
 from . import kernels, lookups
 from .kernels import SECOND
-from .windows import cooldown, count_at_arrival, last_before, suppress_after
+from .windows import cooldown, counts_at_arrival, last_before, suppress_after, with_halo
 
 DRAFT = "seq long, ts_us long, direction string, peer_ip string, local_ip string, proto string, src_port int, dst_port int, rule string, severity string, detail string, count long, window_s long, sig_ord int"
 _EVENT = DRAFT.split(", rule")[0]
@@ -92,7 +92,7 @@ def fold(df: DataFrame, keys: list[str], machine: Callable[[], kernels.Machine],
 def _counted(df: DataFrame, keys: list[str], cfg, rule: str, detail: Column, machine, ordered: bool) -> DataFrame:
     if not ordered:
         return fold(df, keys, machine, rule, cfg.severity, cfg.window_s)
-    counted = df.withColumn("n", count_at_arrival(keys, cfg.window_s * SECOND)).where(F.col("n") >= cfg.threshold)
+    counted = counts_at_arrival(df, keys, cfg.window_s * SECOND, {"n": None}).where(F.col("n") >= cfg.threshold)
     passed = cooldown(_slim(counted, detail, *keys, "n"), keys, cfg.cooldown_s * SECOND)
     return _draft(passed, rule, cfg.severity, F.col("detail"), F.col("n"), cfg.window_s)
 
@@ -128,7 +128,7 @@ def syn_flood(p: DataFrame, cfg, ordered: bool = True) -> DataFrame:
     if not ordered:
         return fold(df, keys, lambda: kernels.SynFlood(cfg), "syn-flood", cfg.severity, cfg.window_s)
     window = cfg.window_s * SECOND
-    both = df.withColumns({"n": count_at_arrival(keys, window, _inbound()), "answers": count_at_arrival(keys, window, F.col("direction") == "outbound")})
+    both = counts_at_arrival(df, keys, window, {"n": _inbound(), "answers": F.col("direction") == "outbound"})
     ratio = F.col("answers") / F.col("n")
     hits = both.where(_inbound() & (F.col("n") >= cfg.threshold)).where(ratio < cfg.max_completion_ratio)
     detail = F.concat(
@@ -155,18 +155,26 @@ def icmp_flood(p: DataFrame, cfg, ordered: bool = True) -> DataFrame:
     return _flood(p, cfg, ordered, "icmp", F.lit(0))
 
 
-def unsolicited(p: DataFrame, ports: list[int], window_us: int) -> DataFrame:
-    """Inbound UDP from a reflector port that no request of ours to that peer and port preceded within the window."""
+def unsolicited(p: DataFrame, ports: list[int], window_us: int, ordered: bool = True) -> DataFrame:
+    """Inbound UDP from a reflector port that no request of ours to that peer and port preceded within the window.
+
+    With ordered times only requests within the window matter, so each time
+    chunk of a peer is looked at by itself.
+    """
     asked = (F.col("direction") == "outbound") & F.col("dst_port").isin(ports)
     answer = _inbound() & F.col("src_port").isin(ports)
     df = p.where((F.col("proto") == "udp") & (asked | answer)).withColumn("service", F.when(asked, F.col("dst_port")).otherwise(F.col("src_port")))
-    df = df.withColumn("asked_us", last_before(F.when(asked, F.col("ts_us")), ["peer_ip", "service"]))
+    keys = ["peer_ip", "service"]
+    if ordered:
+        df, keys = with_halo(df, window_us), [*keys, "_chunk"]
+    df = df.withColumn("asked_us", last_before(F.when(asked, F.col("ts_us")), keys))
+    if ordered:
+        df = df.where(~F.col("_halo")).drop("_chunk", "_halo")
     return df.where(_inbound() & ~F.coalesce((F.col("ts_us") - F.col("asked_us")).between(0, window_us), F.lit(False)))
 
 
 def reflection(p: DataFrame, cfg, ordered: bool = True) -> DataFrame:
-    # the look-back by arrival order is exact in any order of time; only the count needs ordered times
-    df = unsolicited(p, cfg.ports, cfg.window_s * SECOND).where(F.col("payload_len") >= cfg.min_response_bytes)
+    df = unsolicited(p, cfg.ports, cfg.window_s * SECOND, ordered).where(F.col("payload_len") >= cfg.min_response_bytes)
     text = f"-source responses >= {cfg.min_response_bytes}B in {cfg.window_s}s"
     detail = F.concat(*_n("reflection/amplification: {n} unsolicited "), F.col("src_port").cast("string"), F.lit(text))
     machine = lambda: kernels.Count(cfg, text="reflection/amplification: {count} unsolicited {sport}" + text)

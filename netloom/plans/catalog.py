@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import net
@@ -245,14 +245,14 @@ def flowlog_parse(spark, sf_dir):
 
 @query(with_packets(f" SELECT seq, peer_ip, count(*) OVER (PARTITION BY peer_ip ORDER BY ts_us RANGE BETWEEN {6 * HOUR * US - 1} PRECEDING AND CURRENT ROW) AS n FROM packets"))
 def window_count(spark, sf_dir):
-    return P.packets(spark, sf_dir).select("seq", "peer_ip", windows.count_at_arrival(["peer_ip"], 6 * HOUR * US).alias("n"))
+    p = P.packets(spark, sf_dir).select("seq", "ts_us", "peer_ip")
+    return windows.counts_at_arrival(p, ["peer_ip"], 6 * HOUR * US, {"n": None}).select("seq", "peer_ip", "n")
 
 
 @query(with_packets(f", p AS (SELECT seq, peer_ip, ts_us, dst_ip, dst_port FROM packets WHERE dst_port IS NOT NULL) SELECT a.seq, count(DISTINCT (b.dst_ip, b.dst_port)) AS targets FROM p a JOIN p b ON a.peer_ip = b.peer_ip AND b.ts_us > a.ts_us - {DAY * US} AND b.ts_us <= a.ts_us GROUP BY a.seq"))
 def window_distinct_targets(spark, sf_dir):
-    p = P.packets(spark, sf_dir).where("dst_port is not null")
-    frame = Window.partitionBy("peer_ip").orderBy("ts_us").rangeBetween(-(DAY * US - 1), 0)
-    return p.select("seq", F.size(F.collect_set(F.struct("dst_ip", "dst_port")).over(frame)).cast("long").alias("targets"))
+    p = P.packets(spark, sf_dir).where("dst_port is not null").select("seq", "ts_us", "peer_ip", "dst_ip", "dst_port")
+    return windows.distinct_at(p, ["peer_ip"], ["dst_ip", "dst_port"], DAY * US, "targets").select("seq", "targets")
 
 
 @query(with_packets(", g AS (SELECT peer_ip, greatest(ts_us - lag(ts_us) OVER (PARTITION BY peer_ip ORDER BY seq), 0) / 1e6 AS gap FROM packets) SELECT peer_ip, count(*) AS n, round(avg(gap), 4) AS mean_gap, round(stddev_pop(gap) / avg(gap), 6) AS cv FROM g GROUP BY peer_ip HAVING count(*) >= 3 AND avg(gap) > 0"))
@@ -266,8 +266,7 @@ def completion_ratio(spark, sf_dir):
     out = F.col("direction") == "outbound"
     e = p.where((out & (F.col("proto") == "tcp") & S.has(F.col("tcp_flags"), 18)) | (~out & S.is_new_connection(F.col("proto"), F.col("tcp_flags"))))
     e = e.withColumns({"end_ip": F.when(out, F.col("src_ip")).otherwise(F.col("dst_ip")), "end_port": F.when(out, F.col("src_port")).otherwise(F.col("dst_port"))})
-    n = lambda c: windows.count_at_arrival(["end_ip", "end_port"], DAY * US, c)
-    e = e.select("seq", "direction", n(~out).alias("syns"), n(out).alias("answers"))
+    e = windows.counts_at_arrival(e.select("seq", "ts_us", "direction", "end_ip", "end_port"), ["end_ip", "end_port"], DAY * US, {"syns": ~out, "answers": out})
     return e.where("direction = 'inbound'").select("seq", "syns", "answers", F.round(F.col("answers") / F.col("syns"), 6).alias("ratio"))
 
 
