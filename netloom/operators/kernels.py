@@ -12,7 +12,7 @@ from collections import deque
 from dataclasses import dataclass, field
 
 #: Columns that machines read, beside the key.
-FIELDS = ("seq", "ts_us", "direction", "peer_ip", "local_ip", "src_ip", "dst_ip", "proto", "src_port", "dst_port", "tcp_flags", "qname", "qtype", "payload_len", "label")
+FIELDS = ("seq", "ts_us", "direction", "peer_ip", "local_ip", "src_ip", "dst_ip", "proto", "src_port", "dst_port", "tcp_flags", "qname", "qtype", "payload_len", "label", "severity", "sig_ord")
 SECOND = 1_000_000
 
 
@@ -42,6 +42,31 @@ def _prune(times: deque, cutoff: int) -> int:
     return len(times)
 
 
+@dataclass
+class Recent(Machine):
+    """Machines that hold when each of several things was last seen."""
+
+    seen: dict = field(default_factory=dict)
+    turned: bool = False
+
+    def renew(self, key, now: int) -> int:
+        """Notes the key, forgets what is older than the window; how many are left.
+
+        The latest stand last, so the oldest are at the front and each is
+        forgotten once; only after a clock has run backwards are all looked at.
+        """
+        seen, cutoff = self.seen, self.cutoff(now)
+        self.turned = bool(seen) and (self.turned or now < seen[next(reversed(seen))])
+        seen.pop(key, None)
+        seen[key] = now
+        if self.turned:
+            for k in [k for k, t in seen.items() if t <= cutoff]:
+                del seen[k]
+        while seen and seen[first := next(iter(seen))] <= cutoff:
+            del seen[first]
+        return len(seen)
+
+
 @dataclass
 class Count(Machine):
     """So many events in the window: flags, floods, ICMP tunnels, what reflection leaves."""
@@ -56,14 +81,10 @@ class Count(Machine):
 
 
 @dataclass
-class PortScan(Machine):
-    seen: dict = field(default_factory=dict)
-
+class PortScan(Recent):
     def on(self, e):
-        cutoff, least = self.cutoff(e.ts_us), self.cfg.min_targets
-        self.seen[e.dst_ip, e.dst_port] = e.ts_us
-        self.seen = {k: t for k, t in self.seen.items() if t > cutoff}
-        n = len(self.seen)
+        least = self.cfg.min_targets
+        n = self.renew((e.dst_ip, e.dst_port), e.ts_us)
         if n < least:
             return None
         hosts, ports = len({h for h, _ in self.seen}), len({p for _, p in self.seen})
@@ -186,14 +207,9 @@ class Beaconing(Machine):
 
 
 @dataclass
-class NewListener(Machine):
-    seen: dict = field(default_factory=dict)
-
+class NewListener(Recent):
     def on(self, e):
-        cutoff = self.cutoff(e.ts_us)
-        self.seen[e.peer_ip] = e.ts_us
-        self.seen = {k: t for k, t in self.seen.items() if t > cutoff}
-        n = len(self.seen)
+        n = self.renew(e.peer_ip, e.ts_us)
         if n >= self.cfg.min_sources and self.allow(e.ts_us):
             self.seen = {}
             return f"{n} distinct sources probing un-listened port {e.dst_port} in {self.cfg.window_s}s", n

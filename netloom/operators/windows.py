@@ -99,8 +99,8 @@ def jitter(df: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     return out.where((F.col("n") >= least) & (F.col("mean_gap") > 0)).select(*keys, "n", "mean_gap", (F.col("sd") / F.col("mean_gap")).alias("cv"))
 
 
-def cooldown(hits: DataFrame, keys: list[str], cooldown_us: int) -> DataFrame:
-    """The hits that a greedy cooldown lets pass.
+def cooldown(hits: DataFrame, keys: list[str], cooldown_us: int | str) -> DataFrame:
+    """The hits that a greedy cooldown lets pass; cooldown_us may name a column that has one value for each key.
 
     A hit passes unless less than the cooldown has gone since the key's last
     one that passed; a clock that runs backwards lets it pass.  Keys with few
@@ -108,42 +108,43 @@ def cooldown(hits: DataFrame, keys: list[str], cooldown_us: int) -> DataFrame:
     work: each of its hits points to the first that would pass after it, and
     doubling those pointers finds the ones that its first hit leads to.
     """
-    if cooldown_us <= 0:
-        return hits
     columns = hits.columns
-    hits = kept(hits.withColumn("_key", F.to_json(F.struct(*keys))))
-    many = hits.groupBy("_key").count().where(F.col("count") > MOST_COLLECTED).select("_key")
+    wait = F.col(cooldown_us) if isinstance(cooldown_us, str) else F.lit(cooldown_us)
+    hits = kept(hits.withColumns({"_key": F.to_json(F.struct(*keys)), "_wait": wait.cast("long")}))
+    waits = hits.where("_wait > 0")
+    many = waits.groupBy("_key").count().where(F.col("count") > MOST_COLLECTED).select("_key")
+    free = hits.where("_wait <= 0").select(columns)
     if many.isEmpty():
-        return _folded(hits, columns, cooldown_us)
+        return _folded(waits, columns).unionByName(free)
     many = kept(many)
-    hot = hits.join(many, "_key", "left_semi")
-    passed = _led_to(kept(hot.select("_key", "seq", "ts_us")), cooldown_us)
-    return _folded(hits.join(many, "_key", "left_anti"), columns, cooldown_us).unionByName(hot.join(passed, ["_key", "seq"], "left_semi").select(columns))
+    hot = waits.join(many, "_key", "left_semi")
+    passed = _led_to(kept(hot.select("_key", "seq", "ts_us", "_wait")))
+    return _folded(waits.join(many, "_key", "left_anti"), columns).unionByName(hot.join(passed, ["_key", "seq"], "left_semi").select(columns)).unionByName(free)
 
 
-def _folded(hits: DataFrame, columns: list[str], cooldown_us: int) -> DataFrame:
+def _folded(hits: DataFrame, columns: list[str]) -> DataFrame:
     """The greedy cooldown over each key as an array of at most MOST_COLLECTED hits."""
-    row = F.struct("seq", "ts_us", F.struct(*columns).alias("row"))
+    row = F.struct("seq", "ts_us", "_wait", F.struct(*columns).alias("row"))
     rows = hits.select(F.array(F.struct(*columns)).alias("rows")).schema["rows"].dataType
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(rows).alias("passed"))
 
     def step(state: Column, hit: Column) -> Column:
-        waits = F.coalesce((hit["ts_us"] - state["last"]).between(0, cooldown_us - 1), F.lit(False))
+        waits = F.coalesce((hit["ts_us"] - state["last"]).between(0, hit["_wait"] - 1), F.lit(False))
         return F.when(waits, state).otherwise(F.struct(hit["ts_us"].alias("last"), F.concat(state["passed"], F.array(hit["row"])).alias("passed")))
 
     passed = F.aggregate(F.sort_array(F.collect_list(row)), start, step)["passed"]
     return hits.groupBy("_key").agg(passed.alias("_passed")).select(F.explode("_passed").alias("_row")).select(*[F.col("_row")[c].alias(c) for c in columns])
 
 
-def _led_to(hits: DataFrame, cooldown_us: int) -> DataFrame:
-    """(_key, seq) that pass, of hits (_key, seq, ts_us)."""
+def _led_to(hits: DataFrame) -> DataFrame:
+    """(_key, seq) that pass, of hits (_key, seq, ts_us, _wait)."""
     placed = ranked(hits, "_key", "seq")
     after = placed.select("_key", (F.col("pos") - 1).alias("pos"), F.col("ts_us").alias("_then"))
     back = kept(placed.join(after, ["_key", "pos"]).where("_then < ts_us").select("_key").distinct())
-    steady = placed.join(back, "_key", "left_anti").groupBy("_key", "ts_us").agg(F.min("seq").alias("seq"))  # of one time only the first can pass
-    pointers = first_at_or_after(kept(steady), "_key", "ts_us", F.col("ts_us") + cooldown_us, "seq", "next")
+    steady = placed.join(back, "_key", "left_anti").groupBy("_key", "ts_us", "_wait").agg(F.min("seq").alias("seq"))  # of one time only the first can pass
+    pointers = first_at_or_after(kept(steady), "_key", "ts_us", F.col("ts_us") + F.col("_wait"), "seq", "next")
     if not back.isEmpty():
-        pointers = pointers.unionByName(_next_outside(kept(placed.join(back, "_key", "left_semi")), cooldown_us))
+        pointers = pointers.unionByName(_next_outside(kept(placed.join(back, "_key", "left_semi"))))
     pointers = kept(pointers.where("next is not null"))
     reached = hits.groupBy("_key").agg(F.min("seq").alias("seq"))
     # what nothing points to leads nowhere that matters, unless it is the first
@@ -156,8 +157,8 @@ def _led_to(hits: DataFrame, cooldown_us: int) -> DataFrame:
     return reached
 
 
-def _next_outside(placed: DataFrame, cooldown_us: int) -> DataFrame:
-    """(_key, seq, next): the first later hit, in arrival order, of a time outside [ts, ts + cooldown).
+def _next_outside(placed: DataFrame) -> DataFrame:
+    """(_key, seq, next): the first later hit, in arrival order, of a time outside [ts, ts + wait).
 
     For clocks that run backwards.  Least and greatest times of runs of 1, 2,
     4, ... hits are tabled; each hit then passes over the longest run of hits
@@ -169,9 +170,9 @@ def _next_outside(placed: DataFrame, cooldown_us: int) -> DataFrame:
         width = 2 ** (len(runs) - 1)
         second = runs[-1].select("_key", (F.col("pos") - width).alias("pos"), F.col("_lo").alias("_lo2"), F.col("_hi").alias("_hi2"))
         runs.append(kept(runs[-1].join(second, ["_key", "pos"], "left").select("_key", "pos", F.least("_lo", "_lo2").alias("_lo"), F.greatest("_hi", "_hi2").alias("_hi"))))
-    at = placed.select("_key", "seq", "ts_us", (F.col("pos") + 1).alias("pos"))
+    at = placed.select("_key", "seq", "ts_us", "_wait", (F.col("pos") + 1).alias("pos"))
     for k in reversed(range(len(runs))):
-        inside = (F.col("_lo") >= F.col("ts_us")) & (F.col("_hi") < F.col("ts_us") + cooldown_us)
+        inside = (F.col("_lo") >= F.col("ts_us")) & (F.col("_hi") < F.col("ts_us") + F.col("_wait"))
         at = kept(at.join(runs[k], ["_key", "pos"], "left").withColumn("pos", F.when(inside, F.col("pos") + 2**k).otherwise(F.col("pos"))).drop("_lo", "_hi"))
     return at.select("_key", "seq", "pos").join(placed.select("_key", "pos", F.col("seq").alias("next")), ["_key", "pos"]).select("_key", "seq", "next")
 

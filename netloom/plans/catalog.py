@@ -153,16 +153,37 @@ def qname_labels(spark, sf_dir):
 _SEVERITY = "CASE seq % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END"
 
 
-@query(with_packets(f", s AS (SELECT seq, seq % 14 AS rule_ord, {_SEVERITY} AS severity, payload_len AS count FROM packets) SELECT seq, CAST(least(100, list_extract({[r.weight for r in R.RULES]}, CAST(rule_ord + 1 AS INT)) + CASE severity WHEN 'low' THEN 8 WHEN 'medium' THEN 18 ELSE 30 END + floor(least(ln(1 + count) * 6, 20))) AS INT) AS risk_score FROM s"))
+# The rules as SQL has them: written out, so that a wrong value in the library shows.
+_RULES_SQL = """(SELECT * FROM (VALUES
+  (0, 'port-scan', 'T1046', 'TA0007', 'Discovery', 'recon,scan,discovery', 25),
+  (1, 'invalid-tcp-flags', 'T1046', 'TA0007', 'Discovery', 'recon,scan,evasion', 25),
+  (2, 'brute-force', 'T1110', 'TA0006', 'Credential Access', 'credential-access,brute-force', 40),
+  (3, 'syn-flood', 'T1498.001', 'TA0040', 'Impact', 'dos,flood,availability', 50),
+  (4, 'udp-flood', 'T1498', 'TA0040', 'Impact', 'dos,flood,availability', 38),
+  (5, 'icmp-flood', 'T1498', 'TA0040', 'Impact', 'dos,flood,availability', 38),
+  (6, 'reflection-amplification', 'T1498.002', 'TA0040', 'Impact', 'dos,amplification,availability', 50),
+  (7, 'dns-tunnel', 'T1071.004', 'TA0011', 'Command and Control', 'exfiltration,c2,dns', 45),
+  (8, 'icmp-tunnel', 'T1095', 'TA0011', 'Command and Control', 'tunneling,c2,icmp', 45),
+  (9, 'beaconing', 'T1071', 'TA0011', 'Command and Control', 'c2,beaconing', 45),
+  (10, 'threat-intel-hit', 'T1071', 'TA0011', 'Command and Control', 'threat-intel,known-bad', 55),
+  (11, 'suspicious-port', 'T1571', 'TA0011', 'Command and Control', 'c2,backdoor', 30),
+  (12, 'new-listener-probe', 'T1595', 'TA0043', 'Reconnaissance', 'recon,fingerprinting', 18),
+  (13, 'custom-signature', 'T1071', 'TA0011', 'Command and Control', 'custom,signature', 35))
+  v(rule_ord, rule, mitre, tactic, tactic_name, tags, weight))"""
+
+
+@query(with_packets(f", s AS (SELECT seq, weight, {_SEVERITY} AS severity, payload_len AS count FROM packets JOIN {_RULES_SQL} ON rule_ord = seq % 14) SELECT seq, CAST(least(100, weight + CASE severity WHEN 'low' THEN 8 WHEN 'medium' THEN 18 ELSE 30 END + floor(least(ln(1 + count) * 6, 20))) AS INT) AS risk_score FROM s"))
 def risk_score(spark, sf_dir):
     s = P.packets(spark, sf_dir).select("seq", (F.col("seq") % 14).cast("int").alias("rule_ord"), R.pick({0: "low", 1: "medium"}, F.col("seq") % 3, "high").alias("severity"), F.col("payload_len").alias("count"))
     s = s.join(F.broadcast(R.catalog(spark)), "rule_ord")
     return s.select("seq", R.risk_score(F.col("weight"), F.col("severity"), F.col("count")).alias("risk_score"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{r.name}' AS rule, {i} AS rule_ord, '{r.mitre}' AS mitre, '{r.tactic}' AS tactic, '{R.TACTICS[r.tactic]}' AS tactic_name, '{','.join(r.tags)}' AS tags, {r.weight} AS weight FROM region WHERE r_regionkey = 0" for i, r in enumerate(R.RULES)))
+@query(with_packets(f" SELECT rule, rule_ord, mitre, tactic, tactic_name, tags, weight, count(seq) AS packets FROM {_RULES_SQL} LEFT JOIN packets ON seq % 14 = rule_ord GROUP BY ALL"))
 def rule_catalog(spark, sf_dir):
-    return R.catalog(spark).withColumn("tags", F.array_join("tags", ",")).drop("level")
+    """The catalog, and the packets whose number falls to each rule."""
+    n = P.packets(spark, sf_dir).groupBy((F.col("seq") % 14).cast("int").alias("rule_ord")).agg(F.count("*").alias("packets"))
+    return R.catalog(spark).join(n, "rule_ord", "left").na.fill(0, ["packets"]).withColumn("tags", F.array_join("tags", ",")).drop("level")
 
 
 @query(with_packets(", p AS (SELECT peer_ip, list_sort(list_distinct(list(dst_port) FILTER (dst_port IS NOT NULL))) AS ports FROM packets GROUP BY peer_ip) SELECT peer_ip, concat(array_to_string(ports[1:4], ','), CASE WHEN len(ports) > 4 THEN concat(',+', len(ports) - 4) ELSE '' END) AS ports FROM p"))
@@ -399,9 +420,25 @@ def signature_match(spark, sf_dir):
     return p.select("seq", F.explode(names).alias("s")).select("seq", "s.*")
 
 
-@query(with_packets(f", {_SIGS}," + _cooldown_sql("sigs", "peer_ip, sig_name", _CS.cooldown_s) + f", k AS (SELECT *, row_number() OVER (PARTITION BY peer_ip, sig_name ORDER BY seq) AS nth FROM c) SELECT seq, sig_ord, sev AS severity, peer_ip, concat('signature ''', sig_name, ''' [', sig_label, '] matched ', proto, ' ', direction, ' from ', peer_ip) AS detail FROM k WHERE nth <= {_CS.suppress_after}", True))
+@query(with_packets(f", {_SIGS}," + _cooldown_sql("sigs", "peer_ip, sig_name", _CS.cooldown_s) + f", k AS (SELECT *, row_number() OVER (PARTITION BY peer_ip, sig_name ORDER BY seq) AS nth FROM c) SELECT seq, 'custom-signature' AS rule, sev AS severity, peer_ip, concat('signature ''', sig_name, ''' [', sig_label, '] matched ', proto, ' ', direction, ' from ', peer_ip) AS detail, CAST(1 AS BIGINT) AS count, CAST(0 AS BIGINT) AS window_s, CAST(35 + CASE sev WHEN 'low' THEN 8 WHEN 'medium' THEN 18 ELSE 30 END + 4 AS INT) AS risk_score, sig_ord FROM k WHERE nth <= {_CS.suppress_after}", True))
 def det_custom_signature(spark, sf_dir):
-    return detectors.custom_signature(P.packets(spark, sf_dir), _CS, CFG.signature).select("seq", "sig_ord", "severity", "peer_ip", "detail")
+    return Engine().finish(detectors.custom_signature(P.packets(spark, sf_dir), _CS, CFG.signature)).select(*_ALERT, "sig_ord")
+
+
+_MANY = 150
+_NEEDLES = f"(SELECT i, chr(CAST(97 + i % 26 AS INT)) || chr(CAST(97 + i * 7 % 26 AS INT)) || chr(CAST(97 + i // 26 AS INT)) AS needle FROM range({_MANY}) t(i))"
+
+
+@query(f"SELECT doc_id, count(i) AS matches, CAST(coalesce(sum(i), 0) AS BIGINT) AS ords FROM documents LEFT JOIN {_NEEDLES} ON contains(CASE i % 2 WHEN 0 THEN text ELSE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END, needle) AND (i % 3 > 0 OR doc_id % 50 = i % 50) AND (i % 5 > 0 OR doc_id % 2 = 0) GROUP BY doc_id")
+def signature_match_many(spark, sf_dir):
+    """Hundreds of signatures over whole texts as payloads: contents with and without case, some bound to a port or a protocol."""
+    needle = lambda i: chr(97 + i % 26) + chr(97 + i * 7 % 26) + chr(97 + i // 26)
+    signatures = [C.SignatureCfg(name=f"n{i}", content=needle(i), nocase=i % 2 == 1, ports=[] if i % 3 else [1000 + i % 50], protocol=None if i % 5 else "tcp") for i in range(_MANY)]
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    p = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "tcp").otherwise("udp").alias("proto"), F.lit("inbound").alias("direction"), F.lit(None).cast("int").alias("src_port"),
+                 (1000 + F.col("doc_id") % 50).cast("int").alias("dst_port"), F.lit("200.0.0.1").alias("peer_ip"), F.col("text").cast("binary").alias("payload"))
+    found = detectors.with_signatures(p, _CS, signatures).select("doc_id", F.col("_sigs.ord").alias("ord"))
+    return found.select("doc_id", F.size("ord").cast("long").alias("matches"), F.aggregate("ord", F.lit(0).cast("long"), lambda a, x: a + x).alias("ords"))
 
 
 def _fold_sql(guard: str, key: str, columns: str, first: str, step: str, names: str) -> str:
@@ -464,30 +501,30 @@ _BE_FIRE = f"(len({_BE_NEW}) >= {_BE.min_samples} AND coalesce({_BE_CV} <= {_BE.
 
 
 @query(with_packets(_fold_sql(
-    f"direction = 'outbound' AND {NEW}", "peer_ip", _COLS, "[ts_us] AS l, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS n",
-    f"CASE WHEN {_BE_FIRE} THEN [] ELSE {_BE_NEW} END, CASE WHEN {_BE_FIRE} THEN g.ts_us ELSE r.last END, CASE WHEN {_BE_FIRE} THEN len({_BE_NEW}) END", "")
-    + " SELECT seq, peer_ip, n AS count FROM r WHERE n IS NOT NULL", True))
+    f"direction = 'outbound' AND {NEW}", "peer_ip", _COLS, "[ts_us] AS l, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS cv",
+    f"CASE WHEN {_BE_FIRE} THEN [] ELSE {_BE_NEW} END, CASE WHEN {_BE_FIRE} THEN g.ts_us ELSE r.last END, CASE WHEN {_BE_FIRE} THEN len({_BE_NEW}) END, list_avg({_BE_GAPS}), {_BE_CV}", "")
+    + _finish_sql("beaconing", _BE, f"concat('beaconing to ', peer_ip, ': ', n, ' connections, mean interval ', printf('%.1f', mean), 's, jitter CV ', printf('%.3f', cv), ' (<= {_BE.max_jitter_cv:g})')", "n", "r WHERE n IS NOT NULL"), True))
 def det_beaconing(spark, sf_dir):
-    return detectors.beaconing(P.packets(spark, sf_dir), _BE).select("seq", "peer_ip", "count")
+    return _finished(detectors.beaconing(P.packets(spark, sf_dir), _BE))
 
 
 _DT = CFG.dns_tunnel
 _DT_SET = "list_distinct(list_append(r.names, g.qname))"
 _DT_TXT = f"CASE WHEN g.qtype IN (10, 16) THEN list_append(list_filter(r.txt, lambda x: x > g.ts_us - {_DT.window_s * US}), g.ts_us) ELSE r.txt END"
 _DT_SUSP = f"CASE WHEN g.susp THEN list_append(list_filter(r.odd, lambda x: x > g.ts_us - {_DT.window_s * US}), g.ts_us) ELSE r.odd END"
-_DT_WHY = f"CASE WHEN len({_DT_TXT}) >= {_DT.txt_threshold} THEN 'txt' WHEN len({_DT_SET}) >= {_DT.subdomain_threshold} THEN 'names' WHEN len({_DT_SUSP}) >= 5 THEN 'odd' END"
+_DT_WHY = f"(CASE WHEN len({_DT_TXT}) >= {_DT.txt_threshold} THEN 'txt' WHEN len({_DT_SET}) >= {_DT.subdomain_threshold} THEN 'names' WHEN len({_DT_SUSP}) >= 5 THEN 'odd' END)"
 _DT_OK = f"({_DT_WHY} IS NOT NULL AND (r.last IS NULL OR NOT (g.ts_us - r.last BETWEEN 0 AND {_DT.cooldown_s * US - 1})))"
-_DT_SUSPECT = f"(length(qname) >= {_DT.qname_len_threshold} OR list_max(list_transform(string_split(qname, '.'), lambda x: length(x))) >= {_DT.label_len_threshold} OR list_sum(list_transform(list_distinct(string_split(qname, '')), lambda c: -((length(qname) - length(replace(qname, c, ''))) / length(qname)) * log2((length(qname) - length(replace(qname, c, ''))) / length(qname)))) >= {_DT.entropy_threshold})"
+_DT_BITS = "list_sum(list_transform(list_distinct(string_split({q}, '')), lambda c: -((length({q}) - length(replace({q}, c, ''))) / length({q})) * log2((length({q}) - length(replace({q}, c, ''))) / length({q}))))"
+_DT_TEXT = f"concat('possible DNS tunnel: ', CASE {_DT_WHY} WHEN 'txt' THEN concat('high TXT/NULL volume: ', len({_DT_TXT}), ' queries') WHEN 'names' THEN concat('many unique subdomains: ', len({_DT_SET})) ELSE concat(len({_DT_SUSP}), ' high-entropy/long qnames (last entropy ', printf('%.1f', {_DT_BITS.format(q='g.qname')}), ')') END, ' in {_DT.window_s}s')"
+_DT_SUSPECT = f"(length(qname) >= {_DT.qname_len_threshold} OR list_max(list_transform(string_split(qname, '.'), lambda x: length(x))) >= {_DT.label_len_threshold} OR {_DT_BITS.format(q='qname')} >= {_DT.entropy_threshold})"
 
 
 @query(with_packets(f""", g AS (SELECT *, {_DT_SUSPECT} AS susp, row_number() OVER (PARTITION BY peer_ip ORDER BY seq) AS rn FROM packets WHERE qname IS NOT NULL),
-r AS (SELECT seq, peer_ip, rn, [qname] AS names, CASE WHEN qtype IN (10, 16) THEN [ts_us] ELSE [] END AS txt, CASE WHEN susp THEN [ts_us] ELSE [] END AS odd, CAST(NULL AS BIGINT) AS last, CAST(NULL AS VARCHAR) AS why FROM g WHERE rn = 1
-  UNION ALL SELECT g.seq, g.peer_ip, g.rn, CASE WHEN len({_DT_SET}) >= {_DT.subdomain_threshold} THEN [] ELSE {_DT_SET} END, {_DT_TXT}, {_DT_SUSP}, CASE WHEN {_DT_OK} THEN g.ts_us ELSE r.last END, CASE WHEN {_DT_OK} THEN {_DT_WHY} END FROM r JOIN g ON g.rn = r.rn + 1 AND g.peer_ip = r.peer_ip)
-SELECT seq, peer_ip, why FROM r WHERE why IS NOT NULL""", True))
+r AS (SELECT seq, peer_ip, rn, [qname] AS names, CASE WHEN qtype IN (10, 16) THEN [ts_us] ELSE [] END AS txt, CASE WHEN susp THEN [ts_us] ELSE [] END AS odd, CAST(NULL AS BIGINT) AS last, CAST(NULL AS VARCHAR) AS detail FROM g WHERE rn = 1
+  UNION ALL SELECT g.seq, g.peer_ip, g.rn, CASE WHEN len({_DT_SET}) >= {_DT.subdomain_threshold} THEN [] ELSE {_DT_SET} END, {_DT_TXT}, {_DT_SUSP}, CASE WHEN {_DT_OK} THEN g.ts_us ELSE r.last END, CASE WHEN {_DT_OK} THEN {_DT_TEXT} END FROM r JOIN g ON g.rn = r.rn + 1 AND g.peer_ip = r.peer_ip)"""
+    + _finish_sql("dns-tunnel", _DT, "detail", "0", "r WHERE detail IS NOT NULL"), True))
 def det_dns_tunnel(spark, sf_dir):
-    d = detectors.dns_tunnel(P.packets(spark, sf_dir), _DT)
-    why = F.when(F.col("detail").contains("TXT/NULL"), "txt").when(F.col("detail").contains("subdomains"), "names").otherwise("odd")
-    return d.select("seq", "peer_ip", why.alias("why"))
+    return _finished(detectors.dns_tunnel(P.packets(spark, sf_dir), _DT))
 
 
 # ---- engine and sinks ----
@@ -497,17 +534,35 @@ def _engine(spark) -> Engine:
     return Engine(CFG, ALLOW, lookups.prefixes(spark, INTEL), _geo_table(spark), LISTENING)
 
 
-@query()
-def engine_all_rules(spark, sf_dir):
-    return Engine.in_order(_engine(spark).detect(P.packets(spark, sf_dir))).drop("tags", "ports")
-
-
 #: The query of each rule alone.
 _ALONE = {r.name: f"det_{r.name.replace('-', '_')}" for r in R.RULES} | {
     "invalid-tcp-flags": "det_invalid_flags", "reflection-amplification": "det_reflection", "threat-intel-hit": "det_threat_intel", "new-listener-probe": "det_new_listener",
 }
 
 
+def _every_alert(allowed: bool) -> str:
+    """CTEs that end in `alerts`: whole alerts of all rules over packets whose peer is not on the allowlist."""
+    keep = lambda sql: sql.replace("FROM texted)", f"FROM texted WHERE NOT ({_ALLOW_SQL}))") if allowed else sql
+    told = " UNION ALL ".join(f"SELECT seq, rule, severity, peer_ip, detail, count, window_s, risk_score, {'sig_ord' if rule == 'custom-signature' else '0'} AS sig_ord FROM ({keep(ORACLES[name])})" for rule, name in _ALONE.items())
+    return with_packets(f""", told AS ({told}),
+places AS (SELECT seq, CAST(arg_max(asn, len) AS BIGINT) AS asn, arg_max(country, len) AS country FROM packets JOIN {_GEO_SQL} i ON peer4 >> (32 - len) = low >> (32 - len) GROUP BY seq),
+alerts AS (
+  SELECT substr(sha256(concat_ws('#', t.seq, t.rule, t.sig_ord, t.peer_ip)), 1, 16) AS id, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ') AS time, t.rule, t.severity, direction, t.peer_ip,
+         asn AS peer_asn, country AS peer_country, local_ip, proto, src_port, dst_port, detail, mitre, t.count, window_s, risk_score, tactic, tactic_name, tags, 'netloom' AS sensor, 1 AS schema_version, t.seq, rule_ord, CAST(sig_ord AS INT) AS sig_ord
+  FROM told t JOIN packets p ON p.seq = t.seq LEFT JOIN places g ON g.seq = t.seq JOIN {_RULES_SQL} r ON r.rule = t.rule)""")
+
+
+def _alerts(spark, sf_dir):
+    return _engine(spark).detect(P.packets(spark, sf_dir))
+
+
+@query(_every_alert(True) + " SELECT * FROM alerts")
+def engine_all_rules(spark, sf_dir):
+    """Whole alerts of all fourteen rules, in the order in which one host would have told them."""
+    flat = {"time": S.rfc3339(F.col("time")), "tags": F.array_join("tags", ","), "src_port": F.col("ports.src"), "dst_port": F.col("ports.dst")}
+    return Engine.in_order(_alerts(spark, sf_dir)).withColumns(flat).drop("ports")
+
+
 @query("SELECT rule, alerts FROM (" + " UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS alerts FROM ({ORACLES[name]})" for rule, name in _ALONE.items()) + ") WHERE alerts > 0")
 def engine_counts_by_rule(spark, sf_dir):
     """All fourteen rules at once, without an allowlist, against the twins of the rules alone."""
@@ -533,14 +588,49 @@ def block_decisions(spark, sf_dir):
     return sinks.block_decisions(_simple(spark, sf_dir), "low", ["200.0.4.0/22"], 40)
 
 
-@query()
+def _member(name: str, value: str, bare: bool = False) -> str:
+    """SQL of one member of a JSON object."""
+    return f"'\"{name}\":' || {value}" if bare else f"'\"{name}\":\"' || {value} || '\"'"
+
+
+def _object(*members: str) -> str:
+    return "'{' || " + " || ',' || ".join(members) + " || '}'"
+
+
+def _end_sql(ip: str, port: str) -> str:
+    return f"'{{' || {_member('ip', ip)} || CASE WHEN {port} IS NULL THEN '' ELSE ',\"port\":' || {port} END || '}}'"
+
+
+_TAG_LIST = "'[\"' || replace(tags, ',', '\",\"') || '\"]'"
+_IN = "direction = 'inbound'"
+_PLACE = "CASE WHEN peer_asn IS NULL THEN '' ELSE '\"peer_asn\":' || peer_asn || ',\"peer_country\":\"' || peer_country || '\",' END || "
+_PORTS = "'{\"src\":' || coalesce(CAST(src_port AS VARCHAR), 'null') || ',\"dst\":' || coalesce(CAST(dst_port AS VARCHAR), 'null') || '}'"
+_ALERT_JSON = _object(
+    *(_member(c, c) for c in ("id", "time", "rule", "severity", "direction", "peer_ip")), _PLACE + _member("local_ip", "regexp_replace(local_ip, '[0-9]+$', '0')"), _member("proto", "proto"), _member("ports", _PORTS, True),
+    _member("detail", "detail"), _member("mitre", "mitre"), *(_member(c, c, True) for c in ("count", "window_s", "risk_score")), _member("tactic", "tactic"), _member("tactic_name", "tactic_name"), _member("tags", _TAG_LIST, True),
+    _member("sensor", "sensor"), _member("schema_version", "schema_version", True),
+)
+_LABELS = "'{\"mitre_technique_id\":\"' || mitre || '\"' || CASE WHEN peer_asn IS NULL THEN '' ELSE ',\"peer_country\":\"' || peer_country || '\",\"peer_asn\":' || peer_asn END || '}'"
+_ECS_JSON = _object(
+    _member("@timestamp", "time"),
+    _member("event", _object(_member("kind", "'alert'"), _member("category", "'network'"), _member("module", "'netloom'"), _member("severity", "CASE severity WHEN 'low' THEN 2 WHEN 'medium' THEN 3 ELSE 5 END", True), _member("code", "rule"), _member("action", "rule"), _member("risk_score", "risk_score", True)), True),
+    _member("source", _end_sql(f"CASE WHEN {_IN} THEN peer_ip ELSE local_ip END", "src_port"), True), _member("destination", _end_sql(f"CASE WHEN {_IN} THEN local_ip ELSE peer_ip END", "dst_port"), True),
+    _member("network", _object(_member("transport", "proto"), _member("direction", "direction")), True), _member("rule", _object(_member("name", "rule"), _member("reference", "'https://attack.mitre.org/techniques/' || mitre")), True),
+    _member("mitre", _object(_member("technique_id", "mitre"), _member("tactic_id", "tactic"), _member("tactic_name", "tactic_name")), True), _member("tags", _TAG_LIST, True), _member("labels", _LABELS, True), _member("message", "detail"),
+    _member("netloom", _object(_member("count", "count", True), _member("window_s", "window_s", True)), True),
+)
+
+
+@query(_every_alert(True) + f" SELECT {_ECS_JSON} AS value FROM alerts")
 def ecs_json(spark, sf_dir):
-    return sinks.ecs(_simple(spark, sf_dir))
+    """Documents of all rules' alerts."""
+    return sinks.ecs(_alerts(spark, sf_dir))
 
 
-@query()
+@query(_every_alert(True) + f" SELECT {_ALERT_JSON} AS value FROM alerts")
 def alert_json(spark, sf_dir):
-    return sinks.json_lines(sinks.redact(_simple(spark, sf_dir)))
+    """Lines of all rules' alerts, redacted."""
+    return sinks.json_lines(sinks.redact(_alerts(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +26,9 @@ class Engine:
     ordered: bool = True
 
     def drafts(self, packets: DataFrame) -> DataFrame:
-        p = lookups.without_prefixes(packets, self.allowlist)
-        found = detectors.every(p, self.rules, self.intel, self.listening, self.ordered)
-        if not found:
-            return packets.sparkSession.createDataFrame([], detectors.DRAFT)
-        return reduce(DataFrame.unionByName, found)
+        """Drafts of every enabled rule; the packets are read once."""
+        found = detectors.drafts(lookups.without_prefixes(packets, self.allowlist), self.rules, self.intel, self.listening, self.ordered)
+        return packets.sparkSession.createDataFrame([], detectors.DRAFT) if found is None else found
 
     def detect(self, packets: DataFrame) -> DataFrame:
         return self.finish(self.drafts(packets))

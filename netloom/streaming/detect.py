@@ -8,15 +8,13 @@ Within a batch a key's events are handled in order of seq.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
-from types import SimpleNamespace
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions import scalars as S
 from ..operators import detectors, kernels
 from ..plans.config import RulesCfg
 
@@ -27,71 +25,56 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 class Keyed(StatefulProcessor):
-    def __init__(self, machine: bytes, rule: str, severity: str, window_s: int, ttl_s: int):
-        self.machine, self.rule, self.severity, self.window_s, self.ttl_s = machine, rule, severity, window_s, ttl_s
+    def __init__(self, fold: detectors.Fold, ttl_s: int):
+        self.fold, self.fresh, self.ttl_s = fold, pickle.dumps(fold.machine), ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("machine", "value binary", self.ttl_s * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.state.get()
-        machine = pickle.loads(held[0] if held is not None else self.machine)
+        machine = pickle.loads(held[0] if held is not None else self.fresh)
         frame = pd.concat(list(rows)).sort_values("seq")
         frame = frame.astype(object).where(frame.notna(), None)
         out = []
-        for values in frame.itertuples(index=False, name=None):
-            e = SimpleNamespace(**dict(zip(frame.columns, values)))
+        for e in map(detectors.Event._make, frame[list(kernels.FIELDS)].itertuples(index=False, name=None)):
             if found := machine.on(e):
-                out.append((*(getattr(e, c) for c in detectors._CARRIED), self.rule, self.severity, *found, self.window_s, 0))
+                out.append(detectors.drafted(e, self.fold, found))
         self.state.update((pickle.dumps(machine),))
         if out:
-            names = [c.split()[0] for c in detectors.DRAFT.split(", ")]
-            yield pd.DataFrame(out, columns=names).astype({"seq": "int64", "ts_us": "int64", "src_port": "Int32", "dst_port": "Int32"})
+            yield pd.DataFrame(out, columns=detectors._DRAFTED).astype({"seq": "int64", "ts_us": "int64", "src_port": "Int32", "dst_port": "Int32", "sig_ord": "int32"})
 
     def close(self) -> None:
         pass
 
 
-def keyed(packets: DataFrame, keys: list[str], machine: Callable[[], kernels.Machine], rule: str, severity: str, window_s: int, cooldown_s: int) -> DataFrame:
-    for name in kernels.FIELDS:
-        if name not in packets.columns:
-            packets = packets.withColumn(name, F.lit(None).cast("string"))
-    df = packets.select(*[F.col(k).cast("string").alias(f"_key{i}") for i, k in enumerate(keys)], *kernels.FIELDS)
-    processor = Keyed(pickle.dumps(machine()), rule, severity, window_s, 2 * max(window_s, cooldown_s))
-    return df.groupBy(*[f"_key{i}" for i in range(len(keys))]).transformWithStateInPandas(processor, detectors.DRAFT, "Append", "ProcessingTime")
-
-
-def every(p: DataFrame, cfg: RulesCfg, listening: list[int] | None = None) -> dict[str, DataFrame]:
-    """A stream of drafts for each enabled rule that needs no side table."""
-    inbound = F.col("direction") == "inbound"
-    fresh = S.is_new_connection(F.col("proto"), F.col("tcp_flags"))
-    answer = (F.col("direction") == "outbound") & (F.col("proto") == "tcp") & S.has(F.col("tcp_flags"), S.SYN | S.ACK)
-    ends = p.where(answer | inbound & fresh).withColumns(
-        {"end_ip": F.when(answer, F.col("src_ip")).otherwise(F.col("dst_ip")), "end_port": F.when(answer, F.col("src_port")).otherwise(F.col("dst_port"))}
-    )
-    flags = p.where((F.col("proto") == "tcp") & S.is_invalid(F.col("tcp_flags"))).withColumn("label", S.combo_name(F.col("tcp_flags")))
-    echo = p.where((F.col("proto") == "icmp") & F.col("icmp_echo") & (F.col("payload_len") >= cfg.icmp_tunnel.max_payload))
-    asked = (F.col("direction") == "outbound") & F.col("dst_port").isin(cfg.reflection_amplification.ports) | inbound & F.col("src_port").isin(cfg.reflection_amplification.ports)
-    hit = F.coalesce(*(F.when(F.col(c).isin(cfg.suspicious_port.ports), F.col(c)) for c in ("src_port", "dst_port")))
-    flood = lambda proto: p.where(inbound & (F.col("proto") == proto)).withColumn("end_port", F.coalesce("dst_port", F.lit(0)))
-    plans = {
-        "port-scan": (cfg.port_scan, p.where(inbound & fresh & F.col("dst_port").isNotNull()), ["peer_ip"], kernels.PortScan, {}),
-        "invalid-tcp-flags": (cfg.invalid_tcp_flags, flags, ["peer_ip"], kernels.Count, {"text": "invalid TCP flags ({label}): {count} packets in {window}s"}),
-        "brute-force": (cfg.brute_force, p.where(inbound & fresh & F.col("dst_port").isin(cfg.brute_force.ports)), ["peer_ip"], kernels.BruteForce, {}),
-        "syn-flood": (cfg.syn_flood, ends.where("end_port is not null"), ["end_ip", "end_port"], kernels.SynFlood, {}),
-        "udp-flood": (cfg.udp_flood, flood("udp"), ["dst_ip", "end_port"], kernels.Count, {"text": "UDP flood on {dst}: {count} pkts in {window}s"}),
-        "icmp-flood": (cfg.icmp_flood, flood("icmp"), ["dst_ip"], kernels.Count, {"text": "ICMP flood on {dst}: {count} pkts in {window}s"}),
-        "reflection-amplification": (cfg.reflection_amplification, p.where((F.col("proto") == "udp") & asked), ["peer_ip"], kernels.Reflection, {}),
-        "dns-tunnel": (cfg.dns_tunnel, p.where(F.col("qname").isNotNull() & ~F.coalesce("dns_response", F.lit(False))), ["peer_ip"], kernels.DnsTunnel, {}),
-        "icmp-tunnel": (cfg.icmp_tunnel, echo, ["peer_ip"], kernels.Count, {"text": f"possible ICMP tunnel: {{count}} oversized echo payloads >= {cfg.icmp_tunnel.max_payload}B in {{window}}s"}),
-        "beaconing": (cfg.beaconing, p.where((F.col("direction") == "outbound") & fresh), ["peer_ip"], kernels.Beaconing, {}),
-        "suspicious-port": (cfg.suspicious_port, p.withColumn("label", F.concat(F.lit("traffic on suspicious/backdoor port "), hit.cast("string"))).where("label is not null"), ["peer_ip"], kernels.Once, {}),
-    }
-    if listening:
-        df = p.where(inbound & fresh & F.col("dst_port").isNotNull() & ~F.col("dst_port").isin(listening))
-        plans["new-listener-probe"] = (cfg.new_listener, df, ["dst_port"], kernels.NewListener, {})
-    return {
-        rule: keyed(df, keys, lambda m=machine, s=section, x=extra: m(s, **x), rule, section.severity, getattr(section, "window_s", 0), section.cooldown_s)
-        for rule, (section, df, keys, machine, extra) in plans.items()
-        if section.enabled
-    }
+def keyed(packets: DataFrame, fold: detectors.Fold) -> DataFrame:
+    """The drafts of one machine over a stream of the packets that its rule looks at."""
+    df = packets.select(F.to_json(F.struct(*fold.keys)).alias("_key"), *detectors.fields_of(packets))
+    ttl_s = 2 * max(getattr(fold.section, "window_s", 0), fold.section.cooldown_s)
+    return df.groupBy("_key").transformWithStateInPandas(Keyed(fold, ttl_s), detectors.DRAFT, "Append", "ProcessingTime")
+
+
+def every(p: DataFrame, cfg: RulesCfg, listening: list[int] | None = None, intel: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A stream of drafts for each enabled rule.
+
+    Threat intelligence is a stream-static prefix join ahead of the cooldown;
+    its prefix table must be one that is broadcast.  Signatures are matched
+    ahead of the cooldown of each peer and signature, which also holds how many
+    have been told.
+    """
+    ready = detectors.folding(p)
+    once = lambda rule, section, *keys: detectors.Fold(rule, section, keys, kernels.Once(section))
+    folds = [*detectors.resetting(cfg, listening), *detectors.counting(cfg)]
+    out = {f.rule: keyed(ready.where(detectors.guard(f.rule, f.section, listening)), f) for f in folds}
+    if cfg.suspicious_port.enabled:
+        seen = p.where(detectors.guard("suspicious-port", cfg.suspicious_port)).withColumn("label", detectors._backdoor_detail(cfg.suspicious_port))
+        out["suspicious-port"] = keyed(seen, once("suspicious-port", cfg.suspicious_port, "peer_ip"))
+    if cfg.threat_intel.enabled and intel is not None:
+        listed = detectors.with_intel(p, intel).where("_listed is not null").withColumn("label", detectors.intel_detail())
+        out["threat-intel-hit"] = keyed(listed, once("threat-intel-hit", cfg.threat_intel, "peer_ip"))
+    if cfg.custom_signature.enabled and cfg.signature:
+        hits = detectors.exploded_signatures(detectors.with_signatures(p, cfg.custom_signature, cfg.signature))
+        told = hits.withColumns({"label": detectors.signature_detail(), "severity": F.col("sig.severity"), "sig_ord": F.col("sig.ord")})
+        out["custom-signature"] = keyed(told, once("custom-signature", cfg.custom_signature, "peer_ip", "sig_name"))
+    return out

@@ -5,8 +5,10 @@ import random
 import struct
 import subprocess
 import sys
+import time
 import uuid
 from collections import Counter
+from dataclasses import replace
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -276,18 +278,26 @@ def test_sinks(spark, packets, tmp_path):
 def test_streams_say_what_batches_say(spark, packets, tmp_path):
     from netloom.streaming import detect
 
-    names = detectors._CARRIED + ["src_ip", "dst_ip", "tcp_flags", "icmp_echo", "qname", "qtype", "dns_response", "payload_len"]
+    names = detectors._CARRIED + [*detectors._READ, "payload"]
     seen = packets.select(*names)
     for i in range(2):  # two batches, in arrival order
         seen.where(f"floor(seq / 46) = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    plans = detect.every(stream, TUNED, [22, 80])
-    batch = Engine(TUNED, [], None, None, [22, 80]).drafts(packets).collect()
-    for rule in ("port-scan", "beaconing", "new-listener-probe"):
+    cfg = replace(TUNED, signature=[C.SignatureCfg(name="web", ports=[80], severity="low"), C.SignatureCfg(name="out", direction="out")], custom_signature=C.SimpleCfg(cooldown_s=1, suppress_after=2))
+    intel = lookups.prefixes(spark, [("200.201.202.0/24", "feed"), (scenario.attacker(10), None)])
+    plans = detect.every(stream, cfg, [22, 80], intel)
+    assert len(plans) == 14
+    batch = Engine(cfg, [], intel, None, [22, 80]).drafts(packets).collect()
+    for rule in ("port-scan", "new-listener-probe", "threat-intel-hit", "custom-signature"):
         name = rule.replace("-", "_")
-        q = plans[rule].writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
-        q.awaitTermination(180)
-        assert {(r.seq, r.detail) for r in spark.table(name).collect()} == {(r.seq, r.detail) for r in batch if r.rule == rule}
+        q = plans[rule].writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").start()
+        # by processing time batches without data follow for ever, so neither an end nor processAllAvailable() can be waited for
+        end = time.time() + 120
+        while time.time() < end and sum(p.numInputRows for p in q.recentProgress) < 91:
+            time.sleep(0.2)
+        q.stop()
+        told = lambda rows: {(r.seq, r.detail, r.severity, r.sig_ord, r["count"]) for r in rows}
+        assert told(spark.table(name).collect()) == told(r for r in batch if r.rule == rule) != set()
 
 
 def test_white_space_of_any_kind_and_leading_zeros(spark):
