@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +31,7 @@ from . import text as T
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea iframe object svg math title select button".split())
+RAW = set("script style noscript template textarea title select button".split())
 BLOCK = set(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -49,8 +49,14 @@ CHROME_WORDS = set(
 )
 ARTICLE_WORDS = set("article articlebody main content story post entry body text".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Words of CHROME_WORDS that say nothing beside an article's word, as in search-story or post-tags-intro.
+WEAK_WORDS = set("search tags meta text reader responses header promoted".split())
+
+# an attribute's value is quoted or runs to white space; quotes elsewhere are characters like others
+_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:{_VALUE})?|[\"'])*+)>|<[!?][^>]*>", re.S)
+_ATTR = re.compile(rf"([^\s=/>\"']++)(?:\s*+=\s*+({_VALUE}))?")
+_NAMES = {"class", "id", "role", "aria-label"}
 _WORD = re.compile(r"[a-z]+")
 
 FEATURES = ("bias", "links", "heading", "long", "sentence", "short_item", "paragraph", "item", "commas", "digits", "place", "depth", "links_around")
@@ -71,7 +77,9 @@ STRENGTHS = (0.25, 0.5, 1.0, 2.0, 4.0)
 class Block:
     text: str
     linked: int
-    path: tuple[int, ...]  # open elements, by number
+    depth: int  # of open elements
+    shared: int  # how many of them stood open since the block before
+    parents: tuple[int, ...]  # numbers of the parent and the one above it
     flags: tuple[bool, ...]  # chrome_tag, chrome_word, header, article, article_word, hidden
     tag: str
 
@@ -87,26 +95,30 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
             hidden = True
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "")
-        else:
+        elif name in _NAMES:
             words |= set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return bool(words & CHROME_WORDS), bool(words & ARTICLE_WORDS), hidden
+    article = words & ARTICLE_WORDS
+    return bool(words & (CHROME_WORDS - WEAK_WORDS if article - WEAK_WORDS else CHROME_WORDS)), bool(article), hidden
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page, in order, with references decoded and white space collapsed."""
     out: list[Block] = []
     stack: list[tuple[str, int, tuple[bool, ...]]] = []  # tag, number, flags of it and all above
+    standing: Counter = Counter()  # open elements by tag
     held: list[str] = []
-    linked, number, at = 0, 0, 0
+    unended: set[str] = set()  # raw tags that no end tag follows
+    linked, number, at, low = 0, 0, 0, 0
     none = (False,) * 6
 
     def close_block() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if held:
             text = " ".join("".join(held).split())
             if text:
                 tag = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
-                out.append(Block(text, linked, tuple(n for _, n, _ in stack), stack[-1][2] if stack else none, tag))
+                out.append(Block(text, linked, len(stack), low, tuple(n for _, n, _ in reversed(stack[-3:-1])), stack[-1][2] if stack else none, tag))
+                low = len(stack)
             held.clear()
         linked = 0
 
@@ -114,9 +126,19 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = entities.unescape(raw)
         held.append(text)
-        if any(t == "a" for t, _, _ in stack):
+        if standing["a"]:
             linked += len(text.strip())
 
+    def close(depth: int) -> None:
+        """Ends the open elements from that depth on."""
+        nonlocal low
+        standing.subtract(t for t, _, _ in stack[depth:])
+        del stack[depth:]
+        low = min(low, depth)
+
+    def innermost(tag: str) -> int | None:
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag) if standing[tag] > 0 else None
+
     while at < len(page):
         m = _TAG.search(page, at)
         if m is None:
@@ -132,20 +154,20 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK:
                 close_block()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            depth = innermost(tag)
             if depth is not None:
-                del stack[depth:]
+                close(depth)
             continue
         if tag in BLOCK:
             close_block()
         if tag in ENDS_P:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
+            depth = innermost("p")
             if depth is not None:
-                del stack[depth:]
-        if tag in ALIKE:
+                close(depth)
+        if tag in ALIKE and any(standing[t] > 0 for t in ALIKE[tag]):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ALIKE[tag]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "select", "menu"):
                     break
@@ -154,12 +176,13 @@ def blocks(page: str) -> list[Block]:
                 held.append(" ")
             continue
         if tag in RAW:
-            closed = m[3].rstrip().endswith("/") and tag in ("svg", "math")
-            end = None if closed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = None if tag in unended else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if end:
                 at = end.end()
             elif tag in ("script", "style", "title", "textarea"):  # these run to the page's end, others are taken as they come
                 at = len(page)
+            else:
+                unended.add(tag)
             continue
         if m[3].endswith("/") and tag not in BLOCK:
             continue
@@ -168,6 +191,7 @@ def blocks(page: str) -> list[Block]:
         mine = (tag in CHROME_TAGS, chrome and tag not in ("body", "html", "article", "main"), tag == "header", tag in ("article", "main"), article, hidden)
         number += 1
         stack.append((tag, number, tuple(a or b for a, b in zip(above, mine))))
+        standing[tag] += 1
     close_block()
     return out
 
@@ -183,7 +207,7 @@ def features(found: list[Block]) -> np.ndarray:
         marks = min(1.0, 20 * sum(map(b.text.count, ",;")) / n)
         digits = sum(map(str.isdigit, b.text)) / n
         around = (padded[i] + padded[i + 2]) / 2
-        rows.append((1, links[i], b.tag in HEADINGS, min(1.0, n / 200), b.text[-1] in ".!?…\"”»", short, b.tag == "p", b.tag in ("li", "dd", "dt"), marks, digits, i / len(found), min(1.0, len(b.path) / 20), around))
+        rows.append((1, links[i], b.tag in HEADINGS, min(1.0, n / 200), b.text[-1] in ".!?…\"”»", short, b.tag == "p", b.tag in ("li", "dd", "dt"), marks, digits, i / len(found), min(1.0, b.depth / 20), around))
     return np.array(rows, float).reshape(len(rows), len(FEATURES))
 
 
@@ -273,11 +297,9 @@ def _edges(found: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1]
-            shared = next((d for d, (x, y) in enumerate(zip(a.path, b.path)) if x != y), min(len(a.path), len(b.path)))
-            steps = len(a.path) + len(b.path) - 2 * shared
+            steps = found[i - 1].depth + b.depth - 2 * b.shared
             out.append((i - 1, i, NEXT * 2.0 ** -max(0, steps - 2)))
-        for up, parent in enumerate(reversed(b.path[-3:-1])):  # the last block under the same parent or grandparent
+        for up, parent in enumerate(b.parents):  # the last block under the same parent or grandparent
             if parent in last and last[parent] != i - 1:
                 out.append((last[parent], i, NEAR * 2.0 ** -(up + 1)))
             last[parent] = i
@@ -346,8 +368,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars.
 
     Null and empty html, and pages without content, have an empty text.
-    Unclosed and misnested tags are taken as they come; a very long page is
-    one page.  Repeated rows get equal texts; other columns are ignored.
+    Unclosed and misnested tags are taken as they come, and quotes outside of
+    attribute values are characters; a very long page is one page, read in time
+    that goes with its length.  Repeated rows get equal texts; other columns are ignored.
     """
     T.prepare(pages.sparkSession)
     model = fit(pages)

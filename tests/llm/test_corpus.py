@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -707,3 +708,31 @@ def test_line_dedup_of_a_hot_segment_and_ties(spark):
     every += [every[0][:-1] + "z", every[0], every[0]]
     got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect()}
     assert got == {i: int(i >= 60) for i in range(63)}
+
+
+def test_html_loses_no_text_to_odd_tags():
+    """Snippets in which a quote, a formula, fallback text or a name of two words once took a paragraph away."""
+    first, second = "A first paragraph stands here, with a link that matters.", "A second paragraph follows it, as it must."
+    inside = {
+        "<a title=it's href=x>with a link</a>": "with a link", "<a title='a > b' href=\"x'y\">with a link</a>": "with a link", "<a title=\"class = nav\">with a link</a>": "with a link",
+        "<i x = a'b\"c'>with a link</i>": "with a link", '<b ">with a link</b>': "with a link", "with <math><mi>a</mi></math> link": "with a link", "with <svg><text>a</text></svg> link": "with a link",
+        "<object data=x>with a link</object>": "with a link", "<iframe src=x>with a link</iframe>": "with a link", "with <svg/>a <math/>link": "with a link",
+    }
+    for markup, text in inside.items():
+        page = f"<html><body><article><p>{first.replace('with a link', markup)}</p><p>{second}</p></article></body></html>"
+        assert html.main_text(page).split("\n\n") == [first.replace("with a link", text), second], markup
+    for name in ("search-story", "post-tags-intro"):
+        assert second in html.main_text(f"<article><p>{first}</p><div class='{name}'><p>{second}</p></div></article>")
+    for name in ("post-comments", "story-share", "content-sidebar"):
+        assert second not in html.main_text(f"<article><p>{first}</p></article><div class='{name}'><p>{second}</p></div>")
+
+
+def test_html_is_read_in_time_that_goes_with_its_length():
+    def took(n):
+        began = time.process_time()
+        found = html.blocks("<noscript>" * n + "<object>" * n + "<div>" * n + "".join(f"<p>Paragraph {i} has a text.</p>" for i in range(n)) + "<a b=\"" * 50)
+        assert len(found) >= n
+        return time.process_time() - began
+
+    took(500)
+    assert took(8000) < 12 * max(took(2000), 0.05)
