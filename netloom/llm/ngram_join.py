@@ -397,17 +397,19 @@ def _link_counts(sets: DataFrame, joined: DataFrame, num: int, den: int) -> Data
     return counts.groupBy("owner").agg(F.sum("links").alias("n_links")).where("n_links > 0").checkpoint()
 
 
-def ngram_classes(documents: DataFrame, shingle: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id, n_links.
+def ngram_classes(documents: DataFrame, shingle: int = 5, num: int = 75, den: int = 100, count_links: bool = True) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id and, with count_links, n_links.
 
     Two documents link when den * |intersection| >= num * |union| of their
     shingle sets; component_id is the least doc_id reachable.  Documents of
     equal sets, such as repeated rows and equal texts, are one class, and
     n_links counts the other classes that the document's class links with.
     Null and empty texts have no shingles and link with nothing, not even with
-    each other.  Other columns are ignored.
+    each other.  Other columns are ignored.  To count links, the sets of a
+    component are compared in pairs, which is the square of its size in work;
+    the components alone need no such thing.
     """
-    return _classes(documents, shingle, num, den, every=True)
+    return _classes(documents, shingle, num, den, every=count_links)
 
 
 def _classes(documents: DataFrame, shingle: int, num: int, den: int, every: bool) -> DataFrame:
@@ -470,7 +472,7 @@ def _classes(documents: DataFrame, shingle: int, num: int, den: int, every: bool
     named = classes.join(joined.withColumnRenamed("id", "owner"), "owner", "left").join(degree, "owner", "left")
     named = named.withColumn("component", F.coalesce("component", "owner")).select("owner", "lead", "component", "n_links")
     leads = named.groupBy("component").agg(F.min("lead").alias("component_id"))
-    # an owner of many copies is one hot key of the last join: it is sent out beside it
+    # an owner of many copies is one hot key of the last join, whose side of the rows may be split: the other has one row for each owner
     found = named.join(leads, "component").select("owner", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")).checkpoint()
     return docs.join(found, "owner", "left").select(
         "doc_id",

@@ -30,7 +30,7 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.ngram_classes(read(spark, sf_dir, "documents"), count_links=False)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
