@@ -13,7 +13,7 @@ from ..functions import rules as R
 from ..functions import scalars as S
 from ..operators import detectors, lookups, windows
 from ..sinks import alerts as sinks
-from ..sources import feeds, flowlog
+from ..sources import feeds, flowlog, geo
 from . import config as C
 from . import synthetic as P
 from .engine import Engine, alerts_by_rule
@@ -220,6 +220,23 @@ def geo_lpm_left(spark, sf_dir):
     return lookups.longest_prefix(p, _geo_table(spark), "peer_ip", ["asn", "country"], how="left").select("seq", "asn", "country")
 
 
+_K = "s_suppkey % 60"
+_OUTER, _INNER = f"{P.PEER_BASE} + {_K} * 1000", f"{P.PEER_BASE} + {_K} * 1000 + 100"
+
+
+@query(with_packets(f""", k AS (SELECT DISTINCT {_K} AS k, {_OUTER} AS a, {_INNER} AS b FROM supplier),
+ranges AS (SELECT a AS lo, a + 999 AS hi, 100 + k AS asn, 'OUT' AS country FROM k UNION ALL SELECT b, b + k * 37 % 800, 5000 + k, 'IN' FROM k)
+SELECT seq, CAST(arg_min(asn, hi - lo) AS BIGINT) AS asn, arg_min(country, hi - lo) AS country FROM packets JOIN ranges ON peer4 BETWEEN lo AND hi GROUP BY seq"""))
+def geo_ranges(spark, sf_dir):
+    """Places from lines of unaligned ranges, one inside another, split into prefixes."""
+    ip = lambda e: net.v4_text(F.expr(e))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    line = lambda lo, hi, asn, name: F.concat_ws(",", ip(lo), ip(hi), F.expr(asn).cast("string"), F.lit(name))
+    outer, inner = line(_OUTER, f"{_OUTER} + 999", f"100 + {_K}", "OUT"), line(_INNER, f"{_INNER} + {_K} * 37 % 800", f"5000 + {_K}", "IN")
+    places = geo.parse(s.select(F.explode(F.array(outer, inner)).alias("value")).distinct())
+    return lookups.longest_prefix(P.packets(spark, sf_dir).select("seq", "peer_ip"), places, "peer_ip", ["asn", "country"]).select("seq", "asn", "country")
+
+
 @query(with_packets(f" SELECT seq, peer_ip FROM packets WHERE NOT ({_ALLOW_SQL})"))
 def allowlist_anti_join(spark, sf_dir):
     return lookups.without_prefixes(P.packets(spark, sf_dir), ALLOW).select("seq", "peer_ip")

@@ -9,6 +9,7 @@ from netloom.plans import config as C
 from netloom.plans import snort
 from netloom.plans import synthetic as P
 from netloom.plans.engine import Engine
+from netloom.sources import geo
 
 PACKET = "seq long, proto string, direction string, src_port int, dst_port int, peer_ip string, payload binary"
 
@@ -104,3 +105,27 @@ def test_recent_things_are_forgotten_in_any_order_of_time():
             held[key] = now * 10**6
             held = {k: t for k, t in held.items() if t > (now - 10) * 10**6}
             assert machine.renew(key, now * 10**6) == len(held) and machine.seen == held
+
+
+def test_ranges_become_their_fewest_prefixes(spark):
+    import ipaddress
+
+    rnd = random.Random(3)
+    base = int(ipaddress.ip_address("200.0.0.0"))
+    lines, ranges = ["# places", "", "nonsense,1.2.3.4,1,XX", "9.9.9.9,1.1.1.1,1,XX", "200.0.0.1,2001:db8::1,1,XX"], []
+    for i in range(12):
+        lo = base + 64 * i + rnd.randint(0, 20)
+        hi = lo + rnd.randint(0, 40)
+        inner = rnd.randint(lo, hi)
+        for n, (a, b) in enumerate([(lo, hi), (inner, rnd.randint(inner, hi))]):
+            if (a, b) not in [r[:2] for r in ranges]:
+                ranges.append((a, b, 100 * i + n))
+                lines.append(f"{ipaddress.ip_address(a)}, {ipaddress.ip_address(b)} ,{100 * i + n},C{n}")
+    lines += ["2001:db8::1,2001:db8::9,6,SIX", "2001:db8::4,2001:db8::5,7,", "210.0.0.0/16,,8,NET"]
+    table = geo.parse(spark.createDataFrame([(x,) for x in lines], "value string").repartition(2))
+    asks = [str(ipaddress.ip_address(base + i)) for i in range(0, 800, 3)] + ["2001:db8::4", "2001:db8::9", "2001:db8::a", "210.0.7.7"]
+    found = lookups.longest_prefix(spark.createDataFrame(list(enumerate(asks)), "seq long, ip string"), table, "ip", ["asn", "country"], how="left")
+    want = {i: min(((b - a, n) for a, b, n in ranges if a <= base + 3 * i <= b), default=(0, None))[1] for i in range(len(asks) - 4)}
+    assert {r.seq: r.asn for r in found.collect()} == want | dict(enumerate([7, 6, None, 8], len(asks) - 4))
+    assert geo.split_range("0.0.0.1", "0.0.0.6") == [(4, 32, "0" * 31 + "1"), (4, 31, "0" * 30 + "1"), (4, 31, "0" * 29 + "10"), (4, 32, "0" * 29 + "110")]
+    assert geo.parse(table.select("country").where("false")).count() == 0
