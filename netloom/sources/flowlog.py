@@ -28,15 +28,17 @@ def _port(c: Column) -> Column:
 
 def parse(lines: DataFrame) -> DataFrame:
     """(src, dst, sport, dport, proto, start) of each usable line; other columns are carried."""
-    line = net.stripped("value")
-    words = F.split(line, r"\s+")
-    is_json = line.startswith("{")
     text = {"src": 3, "dst": 4, "sport": 5, "dport": 6, "proto": 7, "start": 10}
-    usable = F.when(is_json, F.get_json_object(line, "$").isNotNull()).otherwise((line != "") & ~line.startswith("version") & (F.size(words) >= 13))
-    pick = lambda c: F.when(is_json, F.coalesce(*(F.get_json_object(line, f"$.{n}") for n in FIELDS[c]))).otherwise(F.get(words, text[c]))
-    valid = lambda c: F.when(c.contains(":"), net.v6_bits(F.when(c.contains(":"), c)).isNotNull()).otherwise(net.v4_number(c).isNotNull())
     rest = [c for c in lines.columns if c != "value"]
-    found = lines.where(usable).select(*rest, *(pick(c).alias(c) for c in text))
+    # each line is trimmed once, then cut or parsed once; a filter on what a generator gives is not pushed below it, where it would parse the line again
+    trimmed = lines.select(*rest, net.stripped("value").alias("_line"))
+    is_json = F.col("_line").startswith("{")
+    spelt = F.from_json(F.when(is_json, F.col("_line")), "map<string, string>")  # some names differ by case only
+    cut = trimmed.select(*rest, spelt.alias("_json"), F.when(~is_json & ~F.col("_line").startswith("version"), F.split("_line", r"\s+")).alias("_words"))
+    told = lambda c: F.coalesce(*(F.col("_json")[n] for n in FIELDS[c]), F.get("_words", text[c])).alias(c)
+    usable = F.col("_json").isNotNull() | (F.size("_words") >= 13)
+    found = cut.select(*rest, F.explode(F.when(usable, F.array(F.struct(*map(told, text))))).alias("_flow")).select(*rest, "_flow.*")
+    valid = lambda c: F.when(c.contains(":"), net.v6_bits(F.when(c.contains(":"), c)).isNotNull()).otherwise(net.v4_number(c).isNotNull())
     number = F.col("proto").try_cast("int")
     return found.where(valid(F.col("src")) & valid(F.col("dst"))).select(
         *rest, "src", "dst", _port(F.col("sport")).alias("sport"), _port(F.col("dport")).alias("dport"), F.when(number.between(0, 255), number).otherwise(0).alias("proto"), F.coalesce(F.col("start").try_cast("bigint"), F.lit(0)).alias("start")
