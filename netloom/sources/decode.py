@@ -10,7 +10,7 @@ import ipaddress
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,8 @@ RAW = (
     "src_port int, dst_port int, tcp_flags int, icmp_kind int, icmp_code int, icmp_echo boolean, qname string, qtype int, qclass int, dns_response boolean, "
     "payload_len int, payload binary, frame_len int, error string"
 )
-_NAMES = [c.split()[0] for c in RAW.split(", ")]
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in RAW.split(", "))])
 
 
 class Undecodable(Exception):
@@ -155,25 +156,44 @@ def decode_frame(frame: bytes) -> dict:
     return row
 
 
+def peek(frame: bytes) -> tuple[int, int | None, int | None] | None:
+    """(protocol, source port, destination port) that decode_frame finds, if it finds any, from fixed places; None where only decoding tells."""
+    at = 12
+    for _ in range(2):
+        if frame[at : at + 2] in (b"\x81\x00", b"\x88\xa8"):
+            at += 4
+    kind, at = frame[at : at + 2], at + 2
+    if kind == b"\x08\x00" and len(frame) >= at + 20:
+        proto, after, first = frame[at + 9], at + (frame[at] & 15) * 4, not (frame[at + 6] & 0x1F or frame[at + 7])
+    elif kind == b"\x86\xdd" and len(frame) >= at + 40 and frame[at + 6] not in EXTENSIONS and frame[at + 6] != 44:
+        proto, after, first = frame[at + 6], at + 40, True
+    else:
+        return None
+    if proto not in (6, 17) or not first:
+        return proto, None, None
+    return (proto, *struct.unpack_from(">HH", frame, after)) if len(frame) >= after + 4 else None
+
+
+def decoded(frames: list[tuple]) -> pa.RecordBatch:
+    """RAW rows of (seq, ts_ns, frame, ...); what can't be decoded keeps its error and no fields. A null frame is an empty one."""
+    rows = []
+    for seq, ts_ns, frame, *_ in frames:
+        try:
+            row = decode_frame(frame or b"")
+        except Undecodable as e:
+            row = {"error": str(e), "frame_len": len(frame or b"")}
+        rows.append(row | {"seq": seq, "ts_ns": ts_ns, "ts_us": ts_ns // 1000})
+    return pa.RecordBatch.from_pylist(rows, _SCHEMA)
+
+
 def decode(frames: DataFrame) -> DataFrame:
-    """frames(seq, ts_ns, frame) to RAW rows; what can't be decoded keeps its error and no fields."""
+    """frames(seq, ts_ns, frame) to RAW rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for seq, ts_ns, frame in zip(batch["seq"], batch["ts_ns"], batch["frame"]):
-                row = dict.fromkeys(_NAMES)
-                try:
-                    row |= decode_frame(bytes(frame))
-                except Undecodable as e:
-                    row |= {"error": str(e), "frame_len": len(frame)}
-                rows.append(row | {"seq": seq, "ts_ns": ts_ns, "ts_us": ts_ns // 1000})
-            out = pd.DataFrame(rows, columns=_NAMES)
-            for name, kind in (c.split() for c in RAW.split(", ")):
-                out[name] = out[name].astype({"int": "Int32", "long": "Int64", "boolean": "boolean"}.get(kind, object))
-            yield out
-
-    return frames.select("seq", "ts_ns", "frame").mapInPandas(run, RAW)
+            yield decoded(list(zip(*(c.to_pylist() for c in batch.columns))))
+
+    return frames.select("seq", "ts_ns", "frame").mapInArrow(run, RAW)
 
 
 def packets(raw: DataFrame, hosts: list[str]) -> DataFrame:
