@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..functions import rules as R
 from ..functions import scalars as S
-from ..operators import detectors, lookups, windows
+from ..operators import detectors, lookups, order, windows
 from ..sinks import alerts as sinks
-from ..sources import feeds, flowlog, geo
+from ..sources import decode, feeds, flowlog, geo, pcap
 from . import config as C
+from . import frames as X
 from . import synthetic as P
 from .engine import Engine, alerts_by_rule
 
@@ -586,6 +588,46 @@ def engine_counts_by_rule(spark, sf_dir):
     return alerts_by_rule(Engine(CFG, [], lookups.prefixes(spark, INTEL), _geo_table(spark), LISTENING).detect(P.packets(spark, sf_dir)))
 
 
+# ---- frames ----
+
+
+@query(f"WITH {X.FIELDS_SQL} SELECT seq, ts_us, " + ", ".join(f"CASE WHEN error IS NULL THEN {c} END AS {c}" for c in X.FIELDS) + ", CAST(CASE WHEN fault = 12 THEN 24 + 4 * (seq % 3) ELSE frame_len END AS INT) AS frame_len, error FROM fields")
+def frames_decode(spark, sf_dir):
+    """Every field of every frame; the payload of a message that asks for a name is left to its name."""
+    text = F.when(F.col("qname").isNull(), F.col("payload").cast("string"))
+    return decode.decode(X.shaped(spark, sf_dir)).withColumn("payload", text).select("seq", "ts_us", *X.FIELDS, "frame_len", "error")
+
+
+@query(f"""WITH {X.FIELDS_SQL} SELECT count(*) AS frames, CAST(sum(CASE WHEN fault = 12 THEN 24 + 4 * (seq % 3) ELSE frame_len END) AS BIGINT) AS bytes, count(error) AS parse_errors,
+  count(*) FILTER (error IS NULL AND NOT v6) AS packets, count(*) FILTER (error IS NULL AND v6) AS skipped FROM fields""")
+def frames_counters(spark, sf_dir):
+    """What a run over the frames has seen; the hosts have addresses of the old family only."""
+    raw = decode.decode(X.shaped(spark, sf_dir))
+    return decode.counters(raw, decode.packets(raw, P.HOSTS))
+
+
+def _captured(spark, sf_dir) -> str:
+    """A folder of captures of all events in their order."""
+    folder = f"{order.shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    pcap.write(X.plain(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq"), folder)
+    return folder
+
+
+@query(X.replayed(_every_alert(True)) + " SELECT * EXCLUDE (id, seq) FROM alerts")
+def pcap_replay(spark, sf_dir):
+    """Captures written, read back, decoded and run through all rules: whole alerts but for what hangs on a frame's number."""
+    packets = decode.packets(pcap.read(spark, _captured(spark, sf_dir), decoded=True), P.HOSTS)
+    flat = {"time": S.rfc3339(F.col("time")), "tags": F.array_join("tags", ","), "src_port": F.col("ports.src"), "dst_port": F.col("ports.dst")}
+    return _engine(spark).detect(packets).withColumns(flat).drop("ports", "id", "seq")
+
+
+@query(X.replayed(P.SQL.strip()).join(["WITH ", ""]) + " SELECT ts_us, src_ip, dst_ip, src_port, tcp_flags, payload_len FROM packets WHERE proto = 'tcp' AND dst_port = 22 AND ts_us >= 1704067200000000")
+def pcap_pushed_filters(spark, sf_dir):
+    """One service's connections out of captures, sorted out ahead of decoding where the session lets sources take filters."""
+    df = pcap.read(spark, _captured(spark, sf_dir), decoded=True)
+    return df.where("ip_proto = 6 AND dst_port = 22 AND ts_us >= 1704067200000000").select("ts_us", "src_ip", "dst_ip", "src_port", "tcp_flags", "payload_len")
+
+
 def _simple(spark, sf_dir):
     """Alerts of one cheap rule, for the sinks."""
     cfg = replace(CFG.suspicious_port)

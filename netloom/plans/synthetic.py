@@ -34,7 +34,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packets(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The packets, with some more columns of events() as they are."""
     e = events(spark, sf_dir)
     pick = lambda values, i: F.element_at(F.lit(values), (i + 1).cast("int"))
     k, seq = F.col("k"), F.col("seq")
@@ -73,6 +74,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").cast("binary").alias("payload"),
         F.col("peer").alias("peer4"),
         F.col("local").alias("local4"),
+        *more,
     )
 
 
