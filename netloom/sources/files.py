@@ -35,27 +35,35 @@ class Staging:
 
     What the attempts that count have written is moved into place at the end;
     whatever else lies there, from attempts that failed or from executors that
-    were lost, goes with the folder.
+    were lost, goes with the folder.  Where the end is told by another process
+    than the beginning, as in streams, `job` is the same in both, and no two
+    jobs with it share a path.
     """
 
-    def __init__(self, path: str):
-        self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
-        store, _, folder = self._folder()
-        store.create_dir(folder, recursive=True)
+    def __init__(self, path: str, job: str | None = None):
+        self.path, self.job, self.fixed = path.rstrip("/"), job or uuid.uuid4().hex, job is not None
+        if not self.fixed:
+            store, _, folder = self._folder()
+            store.create_dir(folder, recursive=True)
 
     def _folder(self) -> tuple[fs.FileSystem, str, str]:
         store, at = opened(self.path)
         return store, at, f"{at}/.staging-{self.job}"
 
     def create(self):
-        """(name in the folder, stream to write to); an attempt that outlives its job finds no folder."""
+        """(name in the folder, stream to write to); an attempt that outlives its job finds no folder, unless the job has a fixed one."""
         store, _, folder = self._folder()
+        if self.fixed:
+            store.create_dir(folder, recursive=True)
         name = uuid.uuid4().hex
         return name, store.open_output_stream(f"{folder}/{name}", buffer_size=1 << 20)
 
     def publish(self, files: list[tuple[str, str]], replaces: str | None = None) -> None:
         """Moves (staged name, final name) into place; files that begin with `replaces` and are not among them go."""
         store, at, folder = self._folder()
+        if not files and not replaces:
+            return self.discard()
+        store.create_dir(at, recursive=True)
         final = {name for _, name in files}
         if replaces:
             for f in visible(self.path):
