@@ -243,6 +243,39 @@ def test_line_dedup(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def _edited(rnd, line, n):
+    out = list(line)
+    for _ in range(n):
+        i = rnd.randrange(len(out))
+        out[i : i + rnd.randint(0, 1)] = rnd.choice(["", "z", " "])
+    return "".join(out)
+
+
+def test_an_edit_changes_two_pieces_at_most():
+    rnd = random.Random(31)
+    for _ in range(3000):
+        line = " ".join("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))) for _ in range(12))
+        other = _edited(rnd, line, 1)
+        was, now = Counter(re.split(lines.CUT, line)), Counter(re.split(lines.CUT, other))
+        assert (was - now).total() <= 2 and (now - was).total() <= 2, (line, other)
+
+
+def test_long_lines_within_a_bound(spark):
+    from pyspark.sql import functions as F
+
+    rnd, rows = random.Random(32), []
+    for _ in range(300):
+        # few different words, so pieces repeat, move and are joined
+        a = " ".join(rnd.choice(["abcdef", "abcdefg", "ab", "c", "", "éééééé"]) for _ in range(rnd.randint(4, 30)))
+        b = _edited(rnd, a, rnd.randint(0, 9))
+        if rnd.random() < 0.2:
+            b = a[len(a) // 2 :] + a[: len(a) // 2]
+        rows.append((a, b, rnd.randint(3, 6), _distance(a, b)))
+    got = spark.createDataFrame(rows, "a string, b string, most int, d int").withColumn("got", lines._within(F.col("a"), F.col("b"), F.col("most")))
+    assert got.where("got is null or got <> (d <= most)").collect() == []
+    assert 50 < sum(d <= most for _, _, most, d in rows) < 250
+
+
 def test_line_dedup_edits_grow_with_the_line(spark):
     rnd = random.Random(21)
     word = lambda n: "".join(rnd.choice("abcdé") for _ in range(n))
