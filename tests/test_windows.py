@@ -7,7 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from netloom.functions import scalars
 from netloom.operators import detectors, order, windows
+from netloom.plans import config as C
 
 SCHEMA = "seq long, ts_us long, k string, j int, x int"
 
@@ -91,6 +93,23 @@ def test_requests_within_the_window_are_looked_up_by_chunk(spark):
             assert {r.seq for r in detectors.unsolicited(df, [53, 123], window, ordered).collect()} == want
 
 
+def test_ratios_are_rounded_by_their_exact_value(spark):
+    rows = [(a / n,) for n in [*range(1, 121), 200, 400, 1000] for a in range(2 * n)] + [(x,) for x in (0.0, 0.00390624, 0.0049999999999999, 0.005, 0.125, 0.175, 0.994999, 0.995, 0.9999999, 123456.785)]
+    got = spark.createDataFrame(rows, "x double").select("x", scalars.two_digits(F.col("x")).alias("text")).collect()
+    assert [r for r in got if r.text != f"{r.x:.2f}"] == []
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_a_flood_of_forty_with_seven_answers_tells_the_exact_ratio(spark, ordered):
+    """7 / 40 is a little less than 0.175."""
+    rows = [(i, 1000 * (i + 1), "outbound" if i < 7 else "inbound", "9.9.9.9", "5.7.9.11", "tcp", *((80, 4000) if i < 7 else (4000, 80)), 18 if i < 7 else 2) for i in range(47)]
+    p = spark.createDataFrame(rows, "seq long, ts_us long, direction string, peer_ip string, local_ip string, proto string, src_port int, dst_port int, tcp_flags int")
+    out = F.col("direction") == "outbound"
+    p = p.select("*", F.when(out, F.col("local_ip")).otherwise(F.col("peer_ip")).alias("src_ip"), F.when(out, F.col("peer_ip")).otherwise(F.col("local_ip")).alias("dst_ip"))
+    (r,) = detectors.syn_flood(p, C.SynFloodCfg(threshold=40, window_s=60, cooldown_s=20, max_completion_ratio=0.5), ordered).collect()
+    assert r.detail == "SYN flood on 5.7.9.11:80: 40 SYNs, 7 SYN-ACKs, completion ratio 0.17 in 60s"
+
+
 def test_as_of_join_and_ranks(spark):
     rnd = random.Random(8)
     rows = [(rnd.choice(["a", "a", "a", "b"]), rnd.randint(0, 60), i) for i in range(200)]
