@@ -119,3 +119,19 @@ def test_as_of_join_and_ranks(spark):
     assert got == {(k, i): first(k, t + 7) for k, t, i in rows}
     by = {k: sorted(i for x, _, i in rows if x == k) for k in "ab"}
     assert all(by[r.k][r.pos - 1] == r.i for r in order.ranked(df, "k", "i").collect())
+
+
+def test_what_is_stored_has_the_size_of_its_files(spark):
+    """In a loop of joins an estimate that is multiplied doubles its digits with each round, and so the driver's time."""
+    df = order.stored(spark.range(20).select("id", (F.col("id") + 1).alias("next")))
+    for _ in range(5):
+        df = order.stored(df.join(df.select(F.col("id").alias("next"), F.col("next").alias("far")), "next", "left").select("id", F.coalesce("far", "next").alias("next")))
+    assert {(r.id, r.next) for r in df.collect()} == {(i, 20) for i in range(20)}
+    assert len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10
+
+
+def test_many_rounds_of_pointers_estimate_no_more_than_files(spark, monkeypatch):
+    monkeypatch.setattr(windows, "MOST_COLLECTED", 5)
+    rows = hits(20, 200, JITTER)
+    got = windows.cooldown(spark.createDataFrame(rows, SCHEMA), ["k", "j"], 20)
+    assert len(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 200
