@@ -307,6 +307,41 @@ def test_line_dedup_edits_grow_with_the_line(spark):
     assert {r.doc_id: r.text for r in got} == expected
 
 
+def test_unrelated_long_lines_share_no_keys(spark):
+    rnd = random.Random(41)
+    word = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    common = [word(7) for _ in range(6)]  # each a short piece of nearly all lines
+    every = []
+    for _ in range(80):
+        pieces = [" ".join([word(3), word(9)]) for _ in range(30)] + rnd.sample(common, 5)
+        rnd.shuffle(pieces)
+        every.append("zzzzzz " + " ".join(pieces) + " zzzzzz")
+    every.append(_edited(rnd, every[0], 4))
+    documents = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    keys = lines._keys(lines._occurrences(documents, 1).select("id", "line", "len"), 2).collect()
+    ids = {r.id for r in lines._occurrences(documents.where("doc_id in (0, 80)"), 1).collect()}
+    assert {r.id for r in keys} == ids
+
+
+def test_letters_never_part_near_lines(spark):
+    from pyspark.sql import functions as F
+
+    rnd, rows = random.Random(42), []
+    for _ in range(400):
+        a = "".join(rnd.choice("entarsiodhxyzé ") for _ in range(rnd.choice([30, 60, 200, 500, 1700])))
+        n = max(2, len(a) // 50) if len(a) >= 40 else 1
+        rows.append((a, rnd.choice([_edited(rnd, a, n), a.replace("e", "q", n), a + "t" * n, a[n:]]), True))
+    a = "a" * 300
+    rows += [(a[:-7] + "e" * 7, a, False), (a + "xxxx", a[:-4] + "eeee", False)]  # 7 letters taken and 7 added; 4 longer and 8 others
+    lines_of = spark.createDataFrame(rows, "line string, line2 string, near boolean")
+    each = [c for k in ("", "2") for c in (F.length("line" + k).alias("len" + k), lines._counts(F.col("line" + k)).alias("counts" + k))]
+    got = lines_of.select("line", "line2", "near", *each).where(F.length("line2") > 0).withColumn("got", lines._may_be_near("2", 2)).collect()
+    for r in got:
+        shorter = min(len(r.line), len(r.line2))
+        assert r.near or not r.got
+        assert r.got or not r.near or _distance(r.line, r.line2) > (shorter // 20 if shorter < 40 else max(2, shorter // 50))
+
+
 def test_line_dedup_of_short_lines(spark, tmp_path):
     import corpus_pipeline
     from netloom.llm import queries
