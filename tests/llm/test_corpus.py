@@ -342,6 +342,32 @@ def test_letters_never_part_near_lines(spark):
         assert r.got or not r.near or _distance(r.line, r.line2) > (shorter // 20 if shorter < 40 else max(2, shorter // 50))
 
 
+def test_letters_part_long_lines_whatever_their_number(spark):
+    from pyspark.sql import functions as F
+
+    a = "et" * 1000
+    b = "e" * 64 + a[64:-64] + "e" * 64  # 64 letters are others, which a count modulo 64 does not tell; 40 edits are allowed
+    each = [c for k in ("", "2") for c in (F.length("line" + k).alias("len" + k), lines._counts(F.col("line" + k)).alias("counts" + k))]
+    rows = [(a, b, False), (a, "e" * 40 + a[40:], True), (a * 20, ("e" * 128 + a[128:]) * 20, False)]
+    got = spark.createDataFrame(rows, "line string, line2 string, near boolean").select("near", *each).withColumn("got", lines._may_be_near("2", 2)).collect()
+    assert all(r.got == r.near for r in got)
+
+
+def test_lines_of_few_different_pieces_share_a_key(spark):
+    rnd = random.Random(43)
+    words = ["".join(rnd.choice("abcdef") for _ in range(rnd.randint(2, 9))) for _ in range(7)]
+    pairs = []
+    for _ in range(40):
+        line = " ".join(rnd.choice(words) for _ in range(rnd.randint(40, 120)))
+        pairs.append((line, _edited(rnd, line, len(line) // 50 - 1)))
+    documents = spark.createDataFrame([(i, x) for i, pair in enumerate(pairs) for x in pair], "doc_id long, text string")
+    occurrences = lines._with_hashes(lines._occurrences(documents, 1), 2)
+    keys = {}
+    for r in occurrences.select("doc_id", "hashes").collect():
+        keys.setdefault(r.doc_id, []).append(set(r.hashes))
+    assert all(k[0] & k[1] for k in keys.values()) and len(keys) == 40
+
+
 def test_line_dedup_of_short_lines(spark, tmp_path):
     import corpus_pipeline
     from netloom.llm import queries
